@@ -161,12 +161,17 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tu
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each white-space word of the texts, A-Z lowered, and the words before each text."""
     starts, ends, before = word_spans(data, offsets, ~SPACE)
+    return span_hashes(LOWER[data], starts, ends), before
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes in each span, wherever it stands."""
     if not len(starts):
-        return np.empty(0, np.uint64), before
+        return np.empty(0, np.uint64)
     up, down = _power_tables(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[LOWER[data]] * up[: len(data)], out=total[1:])
-    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), before
+    np.cumsum(_BYTE_VALUES[data] * up[: len(data)], out=total[1:])
+    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 # --- sorted arrays as compressible bytes -----------------------------------------------------------
