@@ -372,7 +372,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         n_all, v = model.n_tokens, model.vocab
         for batch in batches:
             parts = []
-            for _, _, data, offsets in C.chunks(batch.column("__text"), 4 * C.CHUNK_BYTES):
+            for _, _, data, offsets in C.chunks(batch.column("__text")):
                 tokens, begins = _tokens(data, offsets)
                 count, logp = _score_tokens(model, opened, tokens, begins[:-1])
                 base = np.log10((count + 1) / (n_all + v + 1))
