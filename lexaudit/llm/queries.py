@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from .op1_lm import lm_scores
 from .op2_packing import pack_documents
+from .op6_simhash import fingerprint_hex, near_duplicates
+from .op8_language import language_ids
 from .op9_decontaminate import find_contamination
+from .op10_shards import row_digest, shuffle_into_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +32,28 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ids(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scores, op2_best_fit_packing, op9_decontamination)}
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = row_digest(_table(spark, sf_dir, "documents"))
+    return shuffle_into_shards(rows).withColumn("law", F.lit("key"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_scores, op2_best_fit_packing, op6_simhash_near_dedup, op8_language_id, op9_decontamination, op10_sharding)
+}
 
 ORACLE: dict[str, str] = {
     "op9_decontamination": r"""
