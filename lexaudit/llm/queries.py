@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .op1_lm import lm_scores
 from .op2_packing import pack_documents
+from .op3_lines import dedup_lines
+from .op5_html import extract
 from .op6_simhash import fingerprint_hex, near_duplicates
 from .op8_language import language_ids
 from .op9_decontaminate import find_contamination
@@ -32,6 +34,15 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
 
@@ -52,10 +63,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scores, op2_best_fit_packing, op6_simhash_near_dedup, op8_language_id, op9_decontamination, op10_sharding)
+    for f in (op1_lm_scores, op2_best_fit_packing, op3_line_dedup, op5_html_extraction, op6_simhash_near_dedup, op8_language_id, op9_decontamination, op10_sharding)
 }
 
 ORACLE: dict[str, str] = {
+    "op3_line_dedup": r"""
+WITH l AS (SELECT doc_id, i AS line_no, trim(regexp_replace(lower(x), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS line, x AS raw
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
+c AS (SELECT *, string_split(line, ' ') AS w, (doc_id, line_no) AS place FROM l WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
+d AS MATERIALIZED (SELECT line, any_value(w) AS w, min(place) AS first FROM c GROUP BY line),
+v AS MATERIALIZED (SELECT first, line, p, len(w) AS n, array_to_string(w[1 : p - 1] || w[p + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) >= 5)),
+sub AS (SELECT DISTINCT line FROM (SELECT line, first, min(first) OVER (PARTITION BY rest, p, n) AS low FROM v) WHERE low < first),
+ins AS (SELECT DISTINCT CASE WHEN d.first < v.first THEN v.line ELSE d.line END AS line FROM v JOIN d ON v.rest = d.line),
+gone AS (SELECT c.doc_id, c.line_no FROM c JOIN d USING (line) WHERE c.place > d.first OR line IN (SELECT line FROM sub UNION ALL SELECT line FROM ins)),
+k AS (SELECT l.doc_id, count(g.doc_id) AS n_removed, coalesce(string_agg(l.raw, chr(10) ORDER BY l.line_no) FILTER (WHERE g.doc_id IS NULL), '') AS rest
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.line_no = g.line_no GROUP BY l.doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, CASE WHEN text IS NULL THEN NULL ELSE sha256(rest) END AS text_sha256
+FROM documents LEFT JOIN k USING (doc_id)""",
     "op9_decontamination": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS r FROM documents),
 b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
