@@ -163,12 +163,13 @@ def train(labelled: DataFrame, per_language: int = 300, max_rows: int = 3000, id
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` of each row with lang_pred and score."""
-    chosen = docs.select(*keep, F.col(text_col).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
+    text = text_col if text_col in keep else "__text"
+    chosen = docs.select(*keep) if text == text_col else docs.select(*keep, F.col(text_col).alias(text))
+    schema = ", ".join(f"`{c}` {chosen.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         for batch in batches:
-            got = [predict(model, t.as_py()) for t in batch.column("__text")]
+            got = [predict(model, t.as_py()) for t in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([v for v, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return chosen.mapInArrow(run, f"{schema}, lang_pred string, score double")

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from .op1_lm import lm_scores
 from .op2_packing import pack_documents
 from .op3_lines import dedup_lines
+from .op4_licenses import LEAST, TEMPLATES, TERM, scan
 from .op5_html import extract
 from .op6_simhash import fingerprint_hex, near_duplicates
+from .op7_quality import quality_verdicts
 from .op8_language import language_ids
 from .op9_decontaminate import find_contamination
 from .op10_shards import row_digest, shuffle_into_shards
@@ -39,6 +41,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table has no paths: each document gets one in a tree of source, language and runs of a hundred ids."""
+    docs, i = _table(spark, sf_dir, "documents"), F.col("doc_id")
+    deep = F.when(i % 10 == 0, F.concat_ws("/", "source", i)).when(i % 10 < 4, F.concat_ws("/", "source", "lang", i))
+    path = deep.otherwise(F.concat_ws("/", "source", "lang", F.floor(i / 100), i))
+    return scan(docs, "doc_id", path)
+
+
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages"))
 
@@ -47,6 +57,10 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_ids(_table(spark, sf_dir, "documents"))
 
@@ -63,7 +77,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_scores, op2_best_fit_packing, op3_line_dedup, op5_html_extraction, op6_simhash_near_dedup, op8_language_id, op9_decontamination, op10_sharding)
+    for f in (op1_lm_scores, op2_best_fit_packing, op3_line_dedup, op4_license_scan, op5_html_extraction, op6_simhash_near_dedup, op7_quality_rules, op8_language_id, op9_decontamination, op10_sharding)
 }
 
 ORACLE: dict[str, str] = {
@@ -92,3 +106,26 @@ k AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS name
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r)""",
 }
+
+_VALUES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
+ORACLE["op4_license_scan"] = rf"""
+WITH t AS (SELECT * FROM (VALUES {_VALUES}) AS v(license, text)),
+tt AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM t) GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM t)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tt GROUP BY term),
+w AS (SELECT license, term, idf, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY license)) AS weight FROM tt JOIN idf USING (term)),
+d AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN concat_ws('/', source, doc_id) WHEN doc_id % 10 < 4 THEN concat_ws('/', source, lang, doc_id) ELSE concat_ws('/', source, lang, doc_id // 100, doc_id) END AS path FROM documents),
+l AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM d),
+x AS MATERIALIZED (SELECT doc_id, line_no, regexp_extract_all(line, '{TERM}') AS terms FROM l),
+c AS MATERIALIZED (SELECT doc_id, line_no, n_terms, term, count(*) AS tf FROM (SELECT doc_id, line_no, len(terms) AS n_terms, unnest(terms) AS term FROM x) GROUP BY ALL),
+z AS (SELECT doc_id, line_no, n_terms, sqrt(sum((tf * coalesce(idf, ln(1 + (SELECT count(*) FROM t)) + 1)) ** 2)) AS size FROM c LEFT JOIN idf USING (term) GROUP BY ALL),
+o AS (SELECT doc_id, line_no, license, sum(tf * idf * weight) AS dot FROM c JOIN w USING (term) GROUP BY ALL),
+cs AS (SELECT doc_id, line_no, n_terms, license, round(dot / size, 6) AS similarity FROM o JOIN z USING (doc_id, line_no) WHERE round(dot / size, 6) >= {LEAST}),
+bl AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY similarity DESC, license) = 1),
+own AS (SELECT doc_id, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity, sum(n_terms) AS covered FROM bl GROUP BY doc_id),
+b AS (SELECT d.doc_id, path, license, similarity, path[1 : greatest(len(path) - len(string_split(path, '/')[-1]) - 1, 0)] AS folder,
+  coalesce(covered >= 0.4 * len(regexp_extract_all(lower(text), '{TERM}')), FALSE) AS is_file FROM d LEFT JOIN own USING (doc_id)),
+cov AS (SELECT folder AS above, arg_min(license, (-similarity, doc_id)) AS license, max(similarity) AS similarity FROM b WHERE is_file GROUP BY folder),
+n AS (SELECT f.folder, above, cov.license, cov.similarity FROM (SELECT DISTINCT folder FROM b) f JOIN cov ON f.folder = above OR above = '' OR starts_with(f.folder, above || '/') QUALIFY row_number() OVER (PARTITION BY f.folder ORDER BY len(above) DESC) = 1)
+SELECT doc_id, path, coalesce(b.license, n.license) AS license, coalesce(b.similarity, n.similarity) AS similarity,
+  CASE WHEN is_file THEN 'file' WHEN b.license IS NOT NULL THEN 'header' WHEN n.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN b.license IS NULL THEN n.above END AS covered_by FROM b LEFT JOIN n USING (folder)"""
