@@ -22,20 +22,18 @@ ORACLE: dict[str, str] = {}
 WEIGHT, INTERCEPT = 1.7, -0.3
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None, over_examples: bool = False):
+    """Register a query under its function's name; ``over_examples`` puts the definition of examples and labelled in front of the SQL."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            ORACLE[f.__name__] = (PRELUDE + sql) if sql.lstrip().startswith(", ") or sql.lstrip().startswith("SELECT") and uses_prelude(sql) else sql
+            ORACLE[f.__name__] = PRELUDE + sql if over_examples else sql
         return f
 
     return add
 
 
-def uses_prelude(sql: str) -> bool:
-    return any(f" {name}" in sql for name in ("examples", "labelled"))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -65,6 +63,6 @@ ex1 AS (SELECT * EXCLUDE (h), CASE WHEN h < 6 THEN 'development' WHEN h < 8 THEN
     CASE doc_id % 3 WHEN 0 THEN 'v0' WHEN 1 THEN 'v2' ELSE 'v4' END AS version, CASE doc_id % 4 WHEN 0 THEN 'held-out' WHEN 1 THEN 'gen-a' ELSE 'gen-b' END AS generator,
     CASE WHEN doc_id % 97 = 5 THEN 'failed' WHEN n_words < 8 THEN 'insufficient' ELSE 'scored' END AS status FROM ex0),
 ex2 AS (SELECT *, CASE WHEN status = 'scored' THEN ('0x' || substr(sha256(id), 1, 4))::INT / 65535.0::DOUBLE END AS raw FROM ex1),
-examples AS MATERIALIZED (SELECT *, round(1 / (1 + exp(-greatest(-35, least(35, {INTERCEPT} + {WEIGHT} * ln(greatest(1e-6, least(1 - 1e-6, raw)) / (1 - greatest(1e-6, least(1 - 1e-6, raw)))))))), 6) AS calibrated FROM ex2),
+examples AS MATERIALIZED (SELECT *, CASE WHEN raw IS NOT NULL THEN round(1 / (1 + exp(-greatest(-35, least(35, {INTERCEPT} + {WEIGHT} * ln(greatest(1e-6, least(1 - 1e-6, raw)) / (1 - greatest(1e-6, least(1 - 1e-6, raw)))))))), 6) END AS calibrated FROM ex2),
 labelled AS MATERIALIZED (SELECT e.*, toxic AS label, quality FROM examples e JOIN labels USING (doc_id))
 """

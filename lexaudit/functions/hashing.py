@@ -63,4 +63,5 @@ def logit(p) -> Column:
 
 
 def calibrate(raw, weight: float, intercept: float) -> Column:
-    return sigmoid(F.lit(intercept) + F.lit(weight) * logit(raw))
+    """Calibrated score; null without a raw score (greatest and least would pass over the null)."""
+    return F.when(col(raw).isNotNull(), sigmoid(F.lit(intercept) + F.lit(weight) * logit(raw)))

@@ -1,4 +1,8 @@
 """All queries of the core library with their oracle SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from __future__ import annotations
+
+from .catalog import text  # noqa: F401  (each module registers its queries)
+from .catalog.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
