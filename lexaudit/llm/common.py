@@ -34,6 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_side(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
+    """``df``, cut; marked for broadcast only if its counted rows stay under ``limit`` bytes, else a join shuffles it as usual."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 

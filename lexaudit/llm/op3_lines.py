@@ -1,6 +1,6 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is compared by its lowered words; the edit distance counts words.  Lines
+A line is compared by its words; the edit distance counts words.  Lines
 of ``near_words`` words or more are near-duplicates within distance 1 (a word
 inserted, deleted or replaced: a similarity of 0.8 or more from five words on);
 lines of ``min_words`` or more count as duplicates when they are equal; shorter
@@ -19,6 +19,10 @@ id, then line number) is a duplicate or near-duplicate of it.
    decide, and no pairs within a group are made.
 4. The words of a line and of that earliest line are compared again.
 
+Joins against lists that are short in practice (shared halves, lines with a
+neighbour, documents with a line that goes) are broadcast only when their counted
+rows are few, and shuffled otherwise.
+
 Defined results: a null text has no lines and stays null; rows with equal id and
 equal text count as one document and keep the same lines; a null id comes last;
 an empty table gives no rows.
@@ -36,7 +40,11 @@ _KEY = ["h1", "h2"]
 
 
 def _normal(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(line), r"[\x20\x09-\x0D]+", " "))
+    """Single spaces, none at the ends. Most lines are so already, which is cheaper to see than to make."""
+    odd = F.contains(line, F.lit("  ")) | line.startswith(" ") | line.endswith(" ")
+    for c in "\t\v\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.when(odd, F.btrim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "))).otherwise(line)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -59,20 +67,19 @@ def _halves(n: Column) -> list[Column]:
 
 
 def decisions(docs: DataFrame, min_words: int = 3, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(occurrences: place, h1, h2) of all lines that count, and (h1, h2, first, near): the first of equal lines, and the earlier neighbour's place if it has one."""
+    """(occurrences: place, h1, h2) of all lines that count, and (h1, h2, first, near) of those with a copy or an earlier neighbour."""
     full = _lines(docs, id_col, text_col, min_words)
-    spots = C.cut(full.select("place", *_KEY, "n", F.array(*_halves(F.col("n"))).alias("halves")))
-    distinct = spots.groupBy(*_KEY).agg(F.min("place").alias("place"), F.min("n").alias("n"), F.min("halves").alias("halves"))
-    distinct = C.cut(distinct)
+    spots = C.cut(full.select("place", *_KEY, F.when(F.col("n") >= near_words - 1, F.array(*_halves(F.col("n")))).alias("halves")))
+    copies = spots.groupBy(*_KEY).agg(F.min("place").alias("first"), F.count("*").alias("k")).filter("k > 1").select(*_KEY, "first")
 
     # 2. lines that share a half with another line
-    half = distinct.filter(F.col("n") >= near_words - 1).select(*_KEY, F.explode("halves").alias("half"))
-    shared = half.groupBy("half").agg(F.count("*").alias("k")).filter("k > 1").select("half")
-    wanted = half.join(shared, "half").select(*_KEY).distinct().join(distinct.select(*_KEY, "place"), _KEY)
+    half = spots.filter("halves is not null").select(*_KEY, F.explode("halves").alias("half"))
+    shared = half.groupBy("half").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a <> b").select("half")
+    wanted = half.join(C.small_side(shared, 16), "half").select(*_KEY).distinct()
+    texts = full.filter(F.col("n") >= near_words - 1).join(C.small_side(wanted, 24), _KEY)
+    texts = C.cut(texts.groupBy(*_KEY).agg(F.min(F.struct("place", "line", "n")).alias("t")).select(*_KEY, "t.*"))
 
     # 3. their variants: the words before and after the deleted one keep their order and move up by one
-    texts = full.filter(F.col("n") >= near_words - 1).select(*_KEY, "place", "line", "n").join(wanted, [*_KEY, "place"])
-    texts = C.cut(texts)
     word = texts.select("place", "n", F.posexplode(F.split("line", " ")).alias("at", "word"))
     word = word.select("place", "n", "at", F.xxhash64("word", "at").alias("stay"), F.xxhash64("word", F.col("at") - 1).alias("move"))
     so_far = Window.partitionBy("place").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -82,10 +89,10 @@ def decisions(docs: DataFrame, min_words: int = 3, near_words: int = 5, id_col:
         F.expr("bit_xor(move)").over(whole).bitwiseXOR(F.expr("bit_xor(move)").over(so_far)).alias("after"),
         F.expr("bit_xor(stay)").over(whole).alias("all"),
     )
-    variants = C.cut(
-        hashed.filter(F.col("n") >= near_words).select("place", (F.col("n") - 1).alias("size"), F.col("before").bitwiseXOR(F.col("after")).alias("key"), "at")
-        .unionByName(hashed.filter("at = 0").select("place", F.col("n").alias("size"), F.col("all").alias("key"), F.lit(-1).alias("at")))
-    )
+    variant = F.struct((F.col("n") - 1).alias("size"), F.col("before").bitwiseXOR(F.col("after")).alias("key"), F.col("at").alias("at"))
+    itself = F.struct(F.col("n").alias("size"), F.col("all").alias("key"), F.lit(-1).alias("at"))
+    emitted = F.array_compact(F.array(F.when(F.col("n") >= near_words, variant), F.when(F.col("at") == 0, itself)))
+    variants = C.cut(hashed.select("place", F.inline(emitted)))
     # the earliest line of a key and place; of those, the earliest other one that may be next to a line or to its variants
     low = variants.groupBy("key", "size", "at").agg(F.min("place").alias("low"), F.count("*").alias("k"))
     by_key = low.groupBy("key", "size").agg(F.min(F.when(F.col("at") < 0, F.col("low"))).alias("as_whole"), F.min(F.when(F.col("at") >= 0, F.col("low"))).alias("as_variant"), F.sum("k").alias("k"))
@@ -105,20 +112,20 @@ def decisions(docs: DataFrame, min_words: int = 3, near_words: int = 5, id_col:
     one_more = F.concat(F.slice(long, F.lit(1), cut_at - 1), F.slice(long, cut_at + 1, F.size(long))) == short
     verified = pair.filter(F.when(F.size("a") == F.size("b"), differing <= 1).otherwise((F.abs(F.size("a") - F.size("b")) == 1) & one_more))
     near = verified.groupBy(*_KEY).agg(F.min("low").alias("near"))
-    return spots.select("place", *_KEY), distinct.select(*_KEY, F.col("place").alias("first")).join(near, _KEY, "left")
+    return spots.select("place", *_KEY), copies.join(near, _KEY, "full_outer")
 
 
 def removed_lines(docs: DataFrame, min_words: int = 3, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, line_no, earlier) of each line that goes; ``earlier`` is the place of the line that it repeats."""
     spots, known = decisions(docs, min_words, near_words, id_col, text_col)
-    gone = spots.join(known, _KEY).filter(F.col("near").isNotNull() | (F.col("place") > F.col("first")))
+    gone = spots.join(C.small_side(known, 96), _KEY).filter(F.col("near").isNotNull() | (F.col("place") > F.col("first")))
     return gone.select(F.col("place.id").alias("id"), F.col("place.th").alias("th"), F.col("place.line_no").alias("line_no"), F.coalesce("near", "first").alias("earlier"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 3, near_words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the text that stays, and n_lines and n_removed."""
     gone = removed_lines(docs, min_words, near_words, id_col, text_col).groupBy("id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("__gone"))
-    gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone")
+    gone = C.small_side(gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone"), 96)
     joined = docs.withColumn("__own", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
     lines = F.split(text_col, "\n")
     # the runs of lines between removed ones: no search through the removed ones for each line
