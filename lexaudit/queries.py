@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import audit, learning, metrics, text  # noqa: F401  (each module registers its queries)
+from .catalog import audit, learning, metrics, serving, text  # noqa: F401  (each module registers its queries)
 from .catalog.base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
