@@ -37,7 +37,7 @@ def _rounded(df, *cols):
     return df.withColumns({c: F.round(c, 9) for c in cols})
 
 
-@query(f", k AS ({_conf('domain')}), {_RANK[2:]}, a AS (SELECT domain, round(sum((n - p) * (cp - p + p / 2.0)) / (max(tp) * (max(tn) - max(tp)))::DOUBLE, 9) AS auroc, round(sum(p * cp / cn::DOUBLE) / max(tp), 9) AS auprc FROM w GROUP BY domain), "
+@query(f", k AS ({_conf('domain')}), {_RANK[2:]}, a AS (SELECT domain, round(sum((n - p) * (cp - p + p / 2.0)) / nullif(max(tp) * (max(tn) - max(tp)), 0)::DOUBLE, 9) AS auroc, round(sum(p * cp / cn::DOUBLE) / nullif(max(tp), 0), 9) AS auprc FROM w GROUP BY domain), "
        "br AS (SELECT domain, round(avg((calibrated - label) ** 2), 9) AS brier FROM labelled WHERE status = 'scored' GROUP BY domain) "
        f"SELECT k.domain, k.* EXCLUDE (domain), {_rates('k')}, auroc, auprc, brier FROM k LEFT JOIN a USING (domain) LEFT JOIN br USING (domain)", True)
 def flagship_metrics(spark, d):
@@ -57,12 +57,12 @@ def point_metrics(spark, d):
     return _rounded(M.rates(M.confusion(labelled(spark, d), T0)).select(*RATES), *RATES)
 
 
-@query(f"{_RANK} SELECT domain, round(sum((n - p) * (cp - p + p / 2.0)) / (max(tp) * (max(tn) - max(tp)))::DOUBLE, 9) AS auroc FROM w GROUP BY domain", True)
+@query(f"{_RANK} SELECT domain, round(sum((n - p) * (cp - p + p / 2.0)) / nullif(max(tp) * (max(tn) - max(tp)), 0)::DOUBLE, 9) AS auroc FROM w GROUP BY domain", True)
 def auroc(spark, d):
     return _rounded(M.ranking(M.by_score(labelled(spark, d), ["domain"]), ["domain"]).select("domain", "auroc"), "auroc")
 
 
-@query(f"{_RANK} SELECT domain, round(sum(p * cp / cn::DOUBLE) / max(tp), 9) AS auprc FROM w GROUP BY domain", True)
+@query(f"{_RANK} SELECT domain, round(sum(p * cp / cn::DOUBLE) / nullif(max(tp), 0), 9) AS auprc FROM w GROUP BY domain", True)
 def auprc(spark, d):
     return _rounded(M.ranking(M.by_score(labelled(spark, d), ["domain"]), ["domain"]).select("domain", "auprc"), "auprc")
 

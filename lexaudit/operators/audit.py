@@ -32,14 +32,16 @@ def enforce(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     return df.filter(F.coalesce(*checks, F.lit(True)).cast("boolean")) if checks else df
 
 
-EXAMPLE_RULES = {
-    "identity": F.col("sourceId").isNotNull() & (F.length("sourceHash") == 64) & (F.length("provenance") > 0),
-    "split_and_domain": F.col("officialSplit").isin("train", "dev", "test") & F.col("domain").isin("abstracts", "essays", "news", "reports"),
-    "binary_label": F.col("label").isin(0, 1),
-    "offsets": (F.col("start") >= 0) & (F.col("end") - F.col("start") == T.utf16_length("text")) & F.col("preceding").isNotNull(),
-    "human_rows_are_negative": (F.col("version") != "v0") | (F.col("label") == 0),
-    "held_out_generator_in_test": (F.col("generator") != "qwen3-8b") | (F.col("officialSplit") == "test"),
-}
+def example_rules() -> dict[str, Column]:
+    """The row predicates of research examples."""
+    return {
+        "identity": F.col("sourceId").isNotNull() & (F.length("sourceHash") == 64) & (F.length("provenance") > 0),
+        "split_and_domain": F.col("officialSplit").isin("train", "dev", "test") & F.col("domain").isin("abstracts", "essays", "news", "reports"),
+        "binary_label": F.col("label").isin(0, 1),
+        "offsets": (F.col("start") >= 0) & (F.col("end") - F.col("start") == T.utf16_length("text")) & F.col("preceding").isNotNull(),
+        "human_rows_are_negative": (F.col("version") != "v0") | (F.col("label") == 0),
+        "held_out_generator_in_test": (F.col("generator") != "qwen3-8b") | (F.col("officialSplit") == "test"),
+    }
 
 
 def repeated_ids(df: DataFrame, id_col: str) -> DataFrame:

@@ -43,7 +43,7 @@ def audit(rows: DataFrame, quarantined: DataFrame | None = None, least: float =
 
     Rows as research examples; source texts are the seed rows (version v0) in order.
     """
-    broken = {r.rule: r.violations for r in A.rule_counts(rows, A.EXAMPLE_RULES).collect() if r.violations}
+    broken = {r.rule: r.violations for r in A.rule_counts(rows, A.example_rules()).collect() if r.violations}
     A.require(not broken, f"rules broken: {broken}")
     A.require(A.repeated_ids(rows, "id").isEmpty(), "an id is repeated or missing")
     split = F.create_map(*[F.lit(x) for kv in SPLITS.items() for x in kv])[F.col("officialSplit")]
