@@ -82,11 +82,12 @@ def request_bounds(spark, d):
     return table(spark, d, "documents").select("doc_id", ok.alias("ok"), F.octet_length("text").alias("n_bytes"))
 
 
-@query("SELECT user_id, n, n_distinct, n BETWEEN 1 AND 8 AND n = n_distinct AS ok FROM (SELECT user_id, count(*) AS n, count(DISTINCT event_type) AS n_distinct FROM events WHERE event_id % 40 = 0 GROUP BY user_id)")
+@query("SELECT user_id, day, n, n_distinct, n BETWEEN 1 AND 8 AND n = n_distinct AS ok FROM (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT event_type) AS n_distinct FROM events GROUP BY ALL)")
 def batch_id_checks(spark, d):
-    b = table(spark, d, "events").filter("event_id % 40 = 0").groupBy("user_id").agg(F.collect_list("event_type").alias("ids"))
-    n, k = F.size("ids").cast("long"), F.size(F.array_distinct("ids")).cast("long")
-    return b.select("user_id", n.alias("n"), k.alias("n_distinct"), (n.between(1, 8) & (n == k)).alias("ok"))
+    """A user's events of a day stand for one batch."""
+    e = table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    b = e.groupBy("user_id", "day").agg(F.count("*").alias("n"), F.count_distinct("event_type").alias("n_distinct"))
+    return b.withColumn("ok", F.col("n").between(1, 8) & (F.col("n") == F.col("n_distinct")))
 
 
 @query("SELECT doc_id, brief <> text AND NOT contains(brief, text[1:120]) AS ok FROM (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN 'About: ' || text ELSE text[1:60] END AS brief FROM documents)")

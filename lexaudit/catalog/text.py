@@ -65,10 +65,11 @@ def digest_ids(spark, d):
     return table(spark, d, "documents").select("doc_id", H.digest(F.col("doc_id").cast("string")).alias("digest"))
 
 
-@query("SELECT lang, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)) AS ids_digest FROM documents GROUP BY lang")
+@query("SELECT lang, sha256(string_agg(g, ',' ORDER BY g)) AS ids_digest FROM (SELECT lang, source, doc_id // 1000 AS run, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR)) AS g FROM documents GROUP BY ALL) GROUP BY lang")
 def set_digest(spark, d):
-    """The set's digest needs its ids in one place: a digest of sorted ids of each source, then of those."""
-    return table(spark, d, "documents").groupBy("lang").agg(H.set_digest(F.col("doc_id").cast("string")).alias("ids_digest"))
+    """No group of ids is gathered whole: runs of a source's ids are digested first, then their digests."""
+    runs = table(spark, d, "documents").groupBy("lang", "source", F.floor(F.col("doc_id") / 1000).alias("run")).agg(H.set_digest(F.col("doc_id").cast("string")).alias("g"))
+    return runs.groupBy("lang").agg(H.set_digest("g").alias("ids_digest"))
 
 
 @query("SELECT doc_id, (('0x' || substr(sha256('fold:' || source), 1, 8))::BIGINT % 5)::INT AS fold FROM documents")
