@@ -108,13 +108,13 @@ def _distance(names: list[str]) -> Column:
 def robust_estimates(rows: DataFrame, steps: int = 4, share: float = SHARE, floors: dict[str, float] = FLOORS) -> DataFrame:
     """For each value of ``pool``: means m_* and the root l_i_j of the covariance. rows: pool and the statistics."""
     names = list(floors)
-    mid = C.cut(rows.groupBy("pool").agg(*[F.median(F.round(c, 2)).alias(f"m_{c}") for c in names]))
+    mid = C.small_side(rows.groupBy("pool").agg(*[F.median(F.round(c, 2)).alias(f"m_{c}") for c in names]), 100)
     spread = rows.join(mid, "pool").groupBy("pool").agg(*[F.median(F.round(F.abs(F.col(c) - F.col(f"m_{c}")), 2)).alias(f"s_{c}") for c in names])
     root = {f"l_{i}_{j}": F.sqrt((1.4826 * F.col(f"s_{a}")) ** 2 + floors[a] ** 2) if i == j else F.lit(0.0) for i, a in enumerate(names) for j in range(i + 1)}
-    estimate = C.cut(mid.join(spread, "pool").select("pool", *[f"m_{c}" for c in names], *[v.alias(k) for k, v in root.items()]))
+    estimate = C.small_side(spread.join(mid, "pool").select("pool", *[f"m_{c}" for c in names], *[v.alias(k) for k, v in root.items()]), 300)
     for _ in range(steps):
         near = rows.join(estimate, "pool").select("pool", *names, F.round(F.log(_distance(names) + 1e-6), 2).alias("q"))
-        bound = C.cut(near.groupBy("pool").agg(F.percentile("q", share).alias("bound")))
+        bound = C.small_side(near.groupBy("pool").agg(F.percentile("q", share).alias("bound")), 60)
         chosen = near.join(bound, "pool").filter("q <= bound")
         pairs = list(combinations_with_replacement(names, 2))
         raw = chosen.groupBy("pool").agg(*[F.avg(c).alias(f"m_{c}") for c in names], *[F.covar_pop(a, b).alias(f"c_{a}_{b}") for a, b in pairs])
@@ -122,7 +122,7 @@ def robust_estimates(rows: DataFrame, steps: int = 4, share: float = SHARE, floo
         cov = {(a, b): F.col(f"c_{a}_{b}") * CONSISTENCY + (floors[a] ** 2 if a == b else 0.0) for a, b in pairs}
         for name, x in _cholesky(cov, names).items():
             raw = raw.withColumn(name, x)
-        estimate = C.cut(raw.select("pool", *[f"m_{c}" for c in names], *root))
+        estimate = C.small_side(raw.select("pool", *[f"m_{c}" for c in names], *root), 300)
     return estimate
 
 
@@ -137,8 +137,8 @@ def quality_verdicts(docs: DataFrame, cutoff: float = 50.0, min_group: int = 100
     pools = C.cut(groups.join(langs, "__lang", "left").select("__lang", "__source", pool.alias("pool"), "n"))
     big = pools.groupBy("pool").agg(F.sum("n").alias("n_pool")).filter(F.col("n_pool") >= min_group).select("pool")
     placed = pools.join(big, "pool", "left_semi").select("__lang", "__source", "pool")
-    estimate = robust_estimates(C.cut(fit.join(placed, ["__lang", "__source"]).select("pool", *FLOORS)))
-    known = C.cut(placed.join(estimate, "pool").drop("pool"))
+    estimate = robust_estimates(C.cut(fit.join(C.small_side(placed, 100), ["__lang", "__source"]).select("pool", *FLOORS)))
+    known = C.small_side(placed.join(estimate, "pool").drop("pool"), 300)
     names = list(FLOORS)
     measured = stats.select("*", *[v.alias(k) for k, v in transformed().items()]).join(known, ["__lang", "__source"], "left")
     distance = F.when(~F.col("base_failed"), _distance(names))
