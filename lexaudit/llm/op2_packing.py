@@ -37,7 +37,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, size: int = 2048, end_id: int
     def run(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            for a, b, data, offsets in C.chunks(batch.column("__text"), 2 * C.CHUNK_BYTES):
+            for a, b, data, offsets in C.chunks(batch.column("__text")):
                 flat, cuts = enc.encode(data, offsets)
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
                 for r in range(b - a):

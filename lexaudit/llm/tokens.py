@@ -20,7 +20,7 @@ from . import common as C
 #: The splitting pattern of the file's byte-level pre-tokenizer (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct parts remembered by a worker.
-CACHE = 500_000
+CACHE = 250_000
 
 def _byte_of_char() -> dict[str, int]:
     """The byte-level alphabet: printable bytes stand for themselves, the others follow from U+0100 on."""
