@@ -4,7 +4,7 @@ DataFrame functions only.  Each line of a whole text is a vector of TF-IDF
 weights over its terms (a term of no template has the weight of one that no
 template holds); a line matches its best template from ``least`` cosine on.  By
 the prefix principle a line can only reach that cosine if it holds one of a
-template's heaviest terms: those without which the rest is too light.  Only
+set of the template's terms without which the rest is too light.  Only
 lines with such a term are taken apart; nothing is lost by it.
 
 A text in which matching lines hold at least ``file_share`` of the words is a
@@ -16,7 +16,7 @@ The template weights are a constant of this module; joins with them are
 broadcast, as their size is fixed.
 
 Defined results: a null text matches nothing but inherits; a null path has no
-directory and inherits nothing; equal rows get equal results; ties between
+directory and inherits nothing; rows of equal id and path count as one file; ties between
 templates go by name; an empty table gives no rows.
 """
 
@@ -52,6 +52,8 @@ TEMPLATES = {
     "mpl-2.0": "Subject to the terms of the Mozilla Public License, version 2.0.",
     "unlicense": "Released into the public domain under the Unlicense.",
 }
+#: Words of the notices that any prose holds (fixed values); they are the last to be asked for.
+PLAIN_WORDS = "all available by domain in into is made mit of public subject terms the this to under version work".split()
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 LEAST = 0.8
 
@@ -73,11 +75,14 @@ def idf(df: int, n: int) -> float:
 
 
 def needed_terms(least: float) -> list[str]:
-    """Terms of which a line holds at least one if its cosine to any template is ``least`` or more."""
+    """Terms of which a line holds at least one if its cosine to any template is ``least`` or more.
+
+    Any set of a template's terms will do if the rest alone is too light, so plain words are left to the rest.
+    """
     found = set()
     for v in template_weights()[0].values():
         rest = 1.0
-        for term, x in sorted(v.items(), key=lambda item: (-item[1], item[0])):
+        for term, x in sorted(v.items(), key=lambda item: (item[0] in PLAIN_WORDS, -item[1], item[0])):
             if math.sqrt(max(rest, 0.0)) < least - 1e-9:
                 break
             found.add(term)
@@ -115,6 +120,8 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", le
     matches = line_matches(rows, ["__id", "path"], "__text", least)
     own = matches.groupBy("__id", "path").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"), F.sum("n_terms").alias("covered"))
     n_terms = F.size(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), 0))
+    # few texts hold a notice: their list is broadcast if it is counted short, and only they are measured as a whole
+    own = C.small_side(own, 128)
     base = rows.alias("r").join(own.alias("o"), F.col("r.__id").eqNullSafe(F.col("o.__id")) & F.col("r.path").eqNullSafe(F.col("o.path")), "left")
     base = base.select(
         "r.__id", "r.path", F.when(F.col("r.path").isNotNull(), folder_of("r.path")).alias("folder"), F.col("o.b.license").alias("license"), (-F.col("o.b.s")).alias("similarity"),
