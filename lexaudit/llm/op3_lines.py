@@ -1,6 +1,6 @@
 """Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions only.
 
-A line is compared by its words; the edit distance counts words.  Lines
+A line is compared by its lowered words; the edit distance counts words.  Lines
 of ``near_words`` words or more are near-duplicates within distance 1 (a word
 inserted, deleted or replaced: a similarity of 0.8 or more from five words on);
 lines of ``min_words`` or more count as duplicates when they are equal; shorter
@@ -48,8 +48,8 @@ def _normal(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """One row for each line that counts: place, hash, normal form, words."""
-    row = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "raw"))
+    """One row for each line that counts: place, hash, normal form, words. The text is lowered once, before it is taken apart."""
+    row = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(F.lower(text_col), "\n")).alias("line_no", "raw"))
     row = row.select("id", "th", "line_no", _normal(F.col("raw")).alias("line"))
     words = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     row = row.select("*", words.alias("n")).filter((F.col("line") != "") & (F.col("n") >= min_words))
