@@ -45,6 +45,18 @@ def fit_logistic(x, y, steps: int = 500, decay: float = 0.01, rate: float = 0.3,
     return w, float(b)
 
 
+def fit_logistic_sparse(row, column, value, dims: int, y, steps: int = 500, decay: float = 0.01, rate: float = 0.3) -> tuple[np.ndarray, float]:
+    """``fit_logistic`` on the entries (row, column, value) that are not 0."""
+    y = np.asarray(y, float)
+    if len(y) < 2 or len(set(y.tolist())) != 2:
+        raise ValueError("fitting needs both classes and as many rows of features as labels")
+    w, b = np.zeros(dims), 0.0
+    for _ in range(steps):
+        error = (_sigmoid(b + np.bincount(row, value * w[column], len(y))) - y) / len(y)
+        w, b = w - rate * (decay * w + np.bincount(column, value * error[row], dims)), b - rate * error.sum()
+    return w, float(b)
+
+
 def fit_distributed(rows: DataFrame, dims: int, steps: int = 500, decay: float = 0.01, rate: float = 0.3) -> tuple[np.ndarray, float]:
     """The same fit over partitions: each step sums one gradient per partition. rows: features array<double>, label."""
     rows = rows.select("features", "label").cache()
@@ -137,18 +149,29 @@ def fit_text_model(train: pd.DataFrame, features: int = 1500, steps: int = 500):
     vocabulary = sorted((t for t, n in df.items() if n >= 2), key=lambda t: (-df[t], t))[:features]
     place, idf = {t: i for i, t in enumerate(vocabulary)}, np.array([np.log((1 + len(split)) / (1 + df[t])) + 1 for t in vocabulary])
 
-    def vectors(texts) -> np.ndarray:
-        out = np.zeros((len(texts), len(vocabulary)))
+    def vectors(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, column and value of what is not 0; the rows have unit length."""
+        rows, columns, values = [], [], []
         for r, s in enumerate(texts):
+            counts: dict[int, int] = {}
             for t in s:
                 if t in place:
-                    out[r, place[t]] += 1
-        out = np.where(out > 0, 1 + np.log(np.maximum(out, 1)), 0) * idf
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm == 0, 1, norm)
+                    counts[place[t]] = counts.get(place[t], 0) + 1
+            rows += [r] * len(counts)
+            columns += counts.keys()
+            values += counts.values()
+        row, column = np.array(rows, np.int64), np.array(columns, np.int64)
+        value = (1 + np.log(np.array(values, float))) * idf[column]
+        norm = np.sqrt(np.bincount(row, value * value, len(texts)))
+        return row, column, value / norm[row]
+
+    w, b = fit_logistic_sparse(*vectors(split), len(vocabulary), train["label"], steps=steps)
+
+    def score(texts) -> np.ndarray:
+        row, column, value = vectors([find(t.lower()) for t in texts])
+        return _sigmoid(b + np.bincount(row, value * w[column], len(texts)))
 
-    w, b = fit_logistic(vectors(split), train["label"], steps=steps)
-    return lambda texts: _sigmoid(b + vectors([find(t.lower()) for t in texts]) @ w)
+    return score
 
 
 def cross_validated(rows: DataFrame, methods: tuple[str, ...] = ("raw", "prior", "tfidf"), folds: int = 5, max_fpr: float = 0.05) -> DataFrame:
@@ -164,7 +187,7 @@ def cross_validated(rows: DataFrame, methods: tuple[str, ...] = ("raw", "prior",
         p = p.sort_values(["source_id", "doc_id"])
         train, test = p[p["own"] != fold], p[p["own"] == fold]
         if method == "tfidf":
-            score = fit_text_model(train, 300, 200)
+            score = fit_text_model(train)
             raw = lambda q: score(q["text"])
         elif method == "prior":
             raw = lambda q: np.full(len(q), train["label"].mean())
