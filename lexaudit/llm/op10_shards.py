@@ -3,9 +3,11 @@
 Pass 1 scatters the rows by seeded hashes: the id and the shard count alone
 decide the shard (jump consistent hashing, so one more shard takes rows only
 into itself), and a second hash deals each shard into as many buckets as keep a
-bucket at about ``bucket_rows`` rows, which fit in memory.  Pass 2 brings each
-bucket into a fixed order, shuffles it by Fisher-Yates under a seed of its own,
-and gives slots after those of the buckets before it.
+bucket at about ``bucket_rows`` rows and ``bucket_bytes`` bytes of texts, which
+fit in memory.  Pass 2 brings each bucket into a fixed order, shuffles it by
+Fisher-Yates under a seed of its own, and gives slots after those of the buckets
+before it.  Whole rows, texts included, are dealt once; the buckets are sized on
+their hashes and lengths alone.
 
 Defined results: rows with the same id share a shard but, with other payload,
 not always a bucket; a null id counts as one key of its own; equal rows are
@@ -44,24 +46,29 @@ def fisher_yates(n: int, seed: list[int]) -> np.ndarray:
     return np.array(order, np.int64)
 
 
-def shuffle_into_shards(rows: DataFrame, shards: int = 8, seed: int = 11, id_col: str = "doc_id", bucket_rows: int = 20_000) -> DataFrame:
+def _shard(key, n: int):
+    @F.arrow_udf("int")
+    def of(keys: pa.Array) -> pa.Array:
+        return pa.array(jump_hash(keys.to_numpy(zero_copy_only=False).view(np.uint64), n).astype(np.int32))
+
+    return of(key)
+
+
+def shuffle_into_shards(rows: DataFrame, shards: int = 8, seed: int = 11, id_col: str = "doc_id", bucket_rows: int = 20_000, bucket_bytes: int = 16 << 20) -> DataFrame:
     """``rows`` with shard, slot (gapless from 0 in each shard) and grown_shard (the shard among one more)."""
     payload = [c for c in rows.columns if c not in ("shard", "slot", "grown_shard")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(payload).schema.fields)
+    texts = [f.name for f in rows.select(payload).schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    n_bytes = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in texts), F.lit(8 * len(payload))).cast("long")
     keyed = rows.select(*payload, F.xxhash64(F.lit(seed), id_col).alias("__key"), F.xxhash64(F.lit(seed + 1), *payload).alias("__deal"))
-
-    def scatter(batches):
-        for batch in batches:
-            key = batch.column("__key").to_numpy(zero_copy_only=False).view(np.uint64)
-            of = [pa.array(jump_hash(key, n).astype(np.int32)) for n in (shards, shards + 1)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in payload), batch.column("__deal"), *of], names=[*payload, "__deal", "shard", "grown_shard"])
-
-    scattered = C.cut(keyed.mapInArrow(scatter, f"{fields}, __deal long, shard int, grown_shard int"))
-    buckets = max(1, -(-scattered.count() // (shards * bucket_rows)))
-    dealt = scattered.withColumn("__bucket", F.pmod("__deal", F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy("shard", "__bucket").agg(F.count("*").alias("n"))
+    small = C.cut(keyed.select("__key", "__deal", n_bytes.alias("__bytes")))
+    n, total = small.agg(F.count("*"), F.coalesce(F.sum("__bytes"), F.lit(0))).first()
+    buckets = max(1, -(-n // (shards * bucket_rows)), -(-total // (shards * bucket_bytes)))
+    bucket = F.pmod("__deal", F.lit(buckets)).cast("int").alias("__bucket")
+    sizes = small.select(_shard(F.col("__key"), shards).alias("shard"), bucket).groupBy("shard", "__bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = sizes.select("shard", "__bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    dealt = keyed.select(*payload, "__deal", bucket, _shard(F.col("__key"), shards).alias("shard"), _shard(F.col("__key"), shards + 1).alias("grown_shard"))
 
     def shuffle(table: pa.Table) -> pa.Table:
         table = table.sort_by([("__deal", "ascending"), *((c, "ascending") for c in payload)])
@@ -71,15 +78,26 @@ def shuffle_into_shards(rows: DataFrame, shards: int = 8, seed: int = 11, id_col
         out = table.select([*payload, "shard"]).append_column("slot", pa.array(slot + table["__first"][0].as_py()))
         return out.append_column("grown_shard", table["grown_shard"])
 
-    return dealt.join(first, ["shard", "__bucket"]).groupBy("shard", "__bucket").applyInArrow(shuffle, f"{fields}, shard int, slot long, grown_shard int")
+    # one row for each bucket: 32 bytes for 16 MB of texts
+    return dealt.join(C.small_side(first, 32), ["shard", "__bucket"]).groupBy("shard", "__bucket").applyInArrow(shuffle, f"{fields}, shard int, slot long, grown_shard int")
 
 
-def write_shards(shuffled: DataFrame, path: str, files: int) -> None:
-    """Write the shards as Parquet folders ``shard=N``, each file a run of slots in order."""
-    shuffled.repartitionByRange(files, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def write_shards(shuffled: DataFrame, path: str, files: int | None = None) -> None:
+    """Write the shards as Parquet folders ``shard=N``: ``files`` files, each a run of slots in order, at the price of
+    one more shuffle of all rows; by default the buckets stay where they were shuffled, and a file holds whole buckets,
+    each a run of slots, in order."""
+    dealt = shuffled if files is None else shuffled.repartitionByRange(files, "shard", "slot")
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
-def row_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, size, text_crc32): what the sharding query carries instead of the text."""
+def row_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, size, text_crc32) and the columns ``keep``: what the sharding query tells of each row instead of the text."""
     text = C.text_bytes(text_col)
-    return docs.select(id_col, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return docs.select(id_col, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), *keep)
+
+
+def sharded(docs: DataFrame, folder: str) -> DataFrame:
+    """The whole rows of ``docs`` as written to the shards in ``folder``, read again."""
+    out = shuffle_into_shards(docs)
+    write_shards(out, folder)
+    return docs.sparkSession.read.schema(out.schema).parquet(folder)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import common as C
 from .op1_lm import lm_scores
 from .op2_packing import pack_documents
 from .op3_lines import dedup_lines
@@ -14,7 +15,7 @@ from .op6_simhash import fingerprint_hex, near_duplicates
 from .op7_quality import quality_verdicts
 from .op8_language import language_ids
 from .op9_decontaminate import find_contamination
-from .op10_shards import row_digest, shuffle_into_shards
+from .op10_shards import row_digest, sharded
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +72,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = row_digest(_table(spark, sf_dir, "documents"))
-    return shuffle_into_shards(rows).withColumn("law", F.lit("key"))
+    """The documents with their texts are written to shards; size and text_crc32 are those of the rows read from there."""
+    out = sharded(_table(spark, sf_dir, "documents"), C.new_folder(spark, "shards"))
+    return row_digest(out, keep=("shard", "slot", "grown_shard")).withColumn("law", F.lit("key"))
 
 
 QUERIES = {
