@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
+import re
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -18,12 +21,16 @@ CHUNK_BYTES = 1 << 20
 
 # --- the folder that driver and executors share ------------------------------------------------
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder: ``spark.checkpoint.dir`` of the session; only where unset, as in tests, a temporary one."""
+    """URI of the shared folder: ``spark.checkpoint.dir`` of the session; only where unset in local mode, as in tests, a temporary one."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    uri = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexaudit-")
+    uri = spark.conf.get("spark.checkpoint.dir", None)
+    if not uri:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        uri = tempfile.mkdtemp(prefix="lexaudit-")
     sc.setCheckpointDir(uri)
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -40,8 +47,50 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFram
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+_left: set[tuple[SparkSession, str]] = set()
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared folder; what is still there when the driver ends goes then."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _left.add((spark, folder))
+    return folder
+
+
+def drop(spark: SparkSession, *folders: str) -> None:
+    """Delete folders of the shared folder that nothing reads any more."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        _left.discard((spark, folder))
+
+
+@atexit.register
+def _drop_left() -> None:
+    for spark, folder in list(_left):
+        with contextlib.suppress(Exception):  # the session may have ended first
+            drop(spark, folder)
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def save(df: DataFrame, folder: str, *by: str) -> None:
+    """Write ``df`` as Parquet; the shuffle files that this took go as soon as it is written."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEAN)
+    conf.set(_CLEAN, "true")
+    try:
+        df.write.partitionBy(*by).parquet(folder) if by else df.write.parquet(folder)
+    finally:
+        conf.set(_CLEAN, before)
+
+
+def table(df: DataFrame, folder: str) -> DataFrame:
+    """``df`` as a table written to ``folder`` of the shared folder, and read again."""
+    save(df, folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def _local(uri: str) -> str | None:
@@ -68,19 +117,15 @@ def put_file(folder: str, name: str, data: bytes) -> None:
 
 
 def map_file(folder: str, name: str, dtype) -> np.ndarray:
-    """Memory-map an array of the shared folder; a folder that is not a mounted one is first copied to the worker."""
-    path = _local(folder)
-    if path is None:
-        from pyarrow import fs as pafs
+    """Memory-map an array of the shared folder; where that is not a mounted one, the array is read into memory."""
+    if (path := _local(folder)) is not None:
+        full = f"{path}/{name}"
+        return np.memmap(full, dtype=dtype, mode="r") if os.path.getsize(full) else np.empty(0, dtype)
+    from pyarrow import fs as pafs
 
-        fs, remote = pafs.FileSystem.from_uri(folder)
-        path = f"{tempfile.gettempdir()}/{remote.strip('/').replace('/', '_')}"
-        os.makedirs(path, exist_ok=True)
-        if not os.path.exists(f"{path}/{name}"):
-            pafs.copy_files(f"{remote}/{name}", f"{path}/{name}.{os.getpid()}", source_filesystem=fs)
-            os.replace(f"{path}/{name}.{os.getpid()}", f"{path}/{name}")
-    full = f"{path}/{name}"
-    return np.memmap(full, dtype=dtype, mode="r") if os.path.getsize(full) else np.empty(0, dtype)
+    fs, path = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_file(f"{path}/{name}") as f:
+        return np.frombuffer(f.read(), dtype)
 
 
 # --- columns -----------------------------------------------------------------------------------

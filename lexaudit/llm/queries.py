@@ -84,9 +84,9 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op3_line_dedup": r"""
-WITH l AS (SELECT doc_id, i AS line_no, trim(regexp_replace(x, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS line, x AS raw
+WITH l AS (SELECT doc_id, i AS line_no, trim(regexp_replace(lower(x), '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS line, x AS raw
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents WHERE text IS NOT NULL)),
-c AS (SELECT *, string_split(line, ' ') AS w, (doc_id, line_no) AS place FROM l WHERE line <> '' AND len(string_split(line, ' ')) >= 3),
+c AS (SELECT *, string_split(line, ' ') AS w, (doc_id, line_no) AS place FROM l WHERE line <> ''),
 d AS MATERIALIZED (SELECT line, any_value(w) AS w, min(place) AS first FROM c GROUP BY line),
 v AS MATERIALIZED (SELECT first, line, p, len(w) AS n, array_to_string(w[1 : p - 1] || w[p + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) >= 5)),
 sub AS (SELECT DISTINCT line FROM (SELECT line, first, min(first) OVER (PARTITION BY rest, p, n) AS low FROM v) WHERE low < first),

@@ -181,11 +181,11 @@ def one_edit(a, b):
 
 
 def test_line_dedup(spark, docs, rows, empty):
-    lines = [((r[0] is None, r[0] or 0, k), words(x)) for r in rows[:-1] if r[1] for k, x in enumerate(r[1].split("\n"))]
+    lines = [((r[0] is None, r[0] or 0, k), words(x.lower())) for r in rows[:-1] if r[1] for k, x in enumerate(r[1].split("\n"))]
     lines = sorted({p: w for p, w in lines}.items())  # equal rows count once
     gone = set()
     for i, (p, w) in enumerate(lines):
-        if len(w) >= 3 and any(v == w or (max(len(v), len(w)) >= 5 and len(v) >= 4 and one_edit(v, w)) for _, v in lines[:i] if len(v) >= 3):
+        if w and any(v == w or (max(len(v), len(w)) >= 5 and min(len(v), len(w)) >= 4 and one_edit(v, w)) for _, v in lines[:i]):
             gone.add(p)
     assert gone
     got = op3_lines.dedup_lines(docs.filter("doc_id is null or doc_id <> 905")).collect()
@@ -207,6 +207,27 @@ def test_line_dedup_hot_template(spark):
     assert got.pop(0) == 0 and set(got.values()) == {1}
 
 
+def test_line_dedup_finds_every_edit(spark):
+    """Lines of 4 to 200 words, each with copies that have a word replaced, added or taken away anywhere."""
+    rnd, rows = random.Random(8), []
+    for n in (4, 5, 6, 7, 8, 11, 23, 24, 25, 31, 32, 33, 63, 64, 65, 66, 129, 200):
+        base = [f"b{n}x{i}" if i % 5 else "the" for i in range(n)]
+        rows.append(" ".join(base))
+        for at in sorted({0, 1, n // 2 - 1, n // 2, n // 2 + 1, n - 2, n - 1, rnd.randrange(n)}):
+            rows += [" ".join([*base[:at], "other", *base[at + 1 :]]), " ".join([*base[:at], "more", *base[at:]]), " ".join(base[:at] + base[at + 1 :])]
+    rnd.shuffle(rows)
+    w = [x.split(" ") for x in rows]
+    gone = {i for i in range(len(w)) if any(v == w[i] or (max(len(v), len(w[i])) >= 5 and min(len(v), len(w[i])) >= 4 and one_edit(v, w[i])) for v in w[:i])}
+    got = op3_lines.dedup_lines(spark.createDataFrame([(i, x, "en", "s", 1) for i, x in enumerate(rows)], SCHEMA)).collect()
+    assert {r.doc_id for r in got if r.n_removed} == gone and all(r.n_lines == 1 for r in got)
+
+
+def test_line_dedup_short_lines_and_rows_of_one_id(spark):
+    rows = [(1, "Yes.\n\nA heading", "en", "s", 1), (2, "yes.\n\na  HEADING\nown words", "en", "s", 1), (3, "x\ny z", "en", "s", 1), (3, "y z\nx", "en", "s", 1), (None, "yes.", "en", "s", 1), (None, "own words", "en", "s", 1)]
+    got = sorted((str(r.doc_id), r.text) for r in op3_lines.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [("1", "Yes.\n\nA heading"), ("2", "\nown words"), ("3", "x"), ("3", "y z"), ("None", ""), ("None", "")]
+
+
 # --- 4 -----------------------------------------------------------------------------------------------
 def test_license_scan(spark, empty):
     rows = [
