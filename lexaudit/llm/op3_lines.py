@@ -181,12 +181,13 @@ def dedup_lines(docs: DataFrame, min_words: int = 1, near_words: int = 5, id_col
     gone = removed_lines(docs, min_words, near_words, id_col, text_col).groupBy("id", "th").agg(F.array_sort(F.collect_set("line_no")).alias("__gone"))
     gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), "__gone")
     joined = docs.withColumn("__own", F.xxhash64(text_col)).join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__th")), "left")
-    lines = F.split(text_col, "\n")
+    joined = joined.select(*docs.columns, "__gone", F.when(F.col("__gone").isNotNull(), F.split(text_col, "\n")).alias("__lines"))
+    lines = F.col("__lines")
     # the runs of lines between removed ones: no search through the removed ones for each line
     bounds = F.concat(F.array(F.lit(-1)), F.col("__gone"), F.array(F.size(lines)))
     runs = F.zip_with(F.slice(bounds, F.lit(1), F.size(bounds) - 1), F.slice(bounds, F.lit(2), F.size(bounds) - 1), lambda a, b: F.slice(lines, a + 2, b - a - 1))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(runs), "\n"))
-    counted = {}
-    counted["n_lines"] = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    counted["n_removed"] = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], *[v.alias(k) for k, v in counted.items()])
+    ends = F.octet_length(text_col) - F.octet_length(F.replace(text_col, F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(ends + 1).cast("long").alias("n_lines")
+    n_removed = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long").alias("n_removed")
+    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns], n_lines, n_removed)
