@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexaudit.llm import common as C
 from lexaudit.llm.op2_packing import pack_documents
 from lexaudit.llm.op3_lines import dedup_lines
-from lexaudit.llm.op6_simhash import near_duplicates
+from lexaudit.llm.op6_simhash import one_of_each
 from lexaudit.llm.op8_language import identify, train
 from lexaudit.llm.op9_decontaminate import find_contamination
 from lexaudit.llm.queries import tokenizer_path
@@ -37,10 +37,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays; documents without an id stay."""
-    docs = docs.select(COLUMNS)
-    gone = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Of each group of near-duplicates one row stays: the one with the smallest id, a null id last."""
+    return one_of_each(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +65,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; those of the stages before it are deleted once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = C.new_folder(spark, "pipeline")
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    before = None
+    for name, stage in STAGES:
+        folder = C.new_folder(spark, f"pipeline-{name}")
+        docs = C.table(stage(spark, docs, sf_dir), folder)
+        if before:
+            C.drop(spark, before)
+        before = folder
     return docs

@@ -17,6 +17,8 @@ has another id.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,53 +28,86 @@ from . import common as C
 from .components import components
 
 THRESHOLD = 2
-SHINGLES_AT_ONCE = 1 << 17
+#: Hashes whose bits are counted at a time, and bytes of one text that are taken apart at a time.
+SHINGLES_AT_ONCE = 1 << 16
+PIECE_BYTES = 1 << 20
+#: Pairs of fingerprints that are compared at a time.
+COMPARED_AT_ONCE = 1 << 21
 
 
 # --- fingerprints ------------------------------------------------------------------------------
-def _shingle_hashes(text: bytes, width: int, seed: int) -> list[int]:
+def _pieces(text: bytes, size: int = PIECE_BYTES):
+    """Pieces of about ``size`` bytes that end where a word does."""
+    at = 0
+    while len(text) - at > size:
+        m = _WHITE.search(text, at + size)
+        end = m.start() if m else len(text)
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _shingle_hashes(text: bytes, width: int, seed: int):
+    """Arrays of the hashes of a text's shingles; together one for each run of ``width`` words, or one of all the words if there are fewer."""
     import xxhash
 
-    words = text.lower().split()
-    if not words:
-        return []
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.append(0, ends[:-1] + 1)[: max(1, len(words) - width + 1)]
-    last = ends[width - 1 :] if len(words) >= width else ends[-1:]
-    return [digest(line[a:b], seed) for a, b in zip(starts.tolist(), last.tolist(), strict=True)]
+    digest, carried, found = xxhash.xxh64_intdigest, [], False
+    for piece in _pieces(text):
+        words = carried + piece.lower().split()
+        if len(words) >= width:
+            line = b" ".join(words)
+            ends = np.cumsum([len(w) + 1 for w in words]) - 1
+            starts = np.append(0, ends[:-1] + 1)[: len(words) - width + 1]
+            yield np.array([digest(line[a:b], seed) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)], np.uint64)
+            found = True
+        carried = words[max(0, len(words) - width + 1) :]
+    if carried and not found:
+        yield np.array([digest(b" ".join(carried), seed)], np.uint64)
 
 
-def majority_bits(hashes: list[list[int]]) -> np.ndarray:
-    """For each list: the 64 bits set in over half of its hashes; 0 for an empty one."""
-    out = np.zeros(len(hashes), np.uint64)
-    sizes = np.array([len(h) for h in hashes], np.int64)
-    full = np.flatnonzero(sizes)
-    if len(full):
-        flat = np.concatenate([np.array(hashes[i], np.uint64) for i in full])
-        bits = np.unpackbits(flat.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        counts = np.add.reduceat(bits, np.cumsum(sizes[full]) - sizes[full], axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * counts > sizes[full, None], axis=1).view(">u8").ravel().astype(np.uint64)
-    return out
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
 
 
-def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp long) for each row, from the whole text."""
-    chosen = docs.select(id_col, C.text_bytes(text_col).alias("__text"))
+def majority_bits(hashes: list[np.ndarray]) -> np.ndarray:
+    """For each array: the 64 bits set in over half of its hashes; 0 for an empty one. Bits are counted a bounded number of hashes at a time."""
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    counts = np.zeros((len(hashes), 64), np.int64)
+    small = [i for i in np.flatnonzero(sizes) if sizes[i] <= SHINGLES_AT_ONCE]
+    while small:
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[small]), SHINGLES_AT_ONCE, "right")))
+        own, small = small[:n], small[n:]
+        counts[own] = np.add.reduceat(_bits(np.concatenate([hashes[i] for i in own])), np.cumsum(sizes[own]) - sizes[own], axis=0, dtype=np.int64)
+    for i in np.flatnonzero(sizes > SHINGLES_AT_ONCE):
+        for k in range(0, int(sizes[i]), SHINGLES_AT_ONCE):
+            counts[i] += _bits(hashes[i][k : k + SHINGLES_AT_ONCE]).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def fingerprints(docs: DataFrame, width: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp long) and ``keep`` for each row, from the whole text."""
+    kept = [id_col, *(c for c in keep if c != id_col)]
+    chosen = docs.select(*kept, C.text_bytes(text_col).alias("__text"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
 
     def run(batches):
         for batch in batches:
             found, held, n = [], [], 0
             for x in batch.column("__text"):
-                held.append(_shingle_hashes(x.as_py(), width, seed))
+                held.append(np.concatenate([np.empty(0, np.uint64), *_shingle_hashes(x.as_py(), width, seed)]))
                 n += len(held[-1])
                 if n >= SHINGLES_AT_ONCE:
                     found.append(majority_bits(held))
                     held, n = [], 0
-            found.append(majority_bits(held))
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(np.concatenate(found).view(np.int64))], names=[id_col, "fp"])
+            if held:
+                found.append(majority_bits(held))
+            if found:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.concatenate(found).view(np.int64))], names=[*kept, "__fp"])
 
-    return chosen.mapInArrow(run, f"`{id_col}` {chosen.schema[id_col].dataType.simpleString()}, fp long")
+    return chosen.mapInArrow(run, f"{schema}, __fp long").withColumnRenamed("__fp", "fp")
 
 
 # --- anchors -------------------------------------------------------------------------------------
@@ -104,22 +139,26 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _links(fp: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between those at home and all at one anchor, as index pairs."""
+    """A spanning forest of the links between those at home and all at one anchor, as index pairs.
+
+    Links are found a bounded number of comparisons at a time and joined into the forest at once; no list of all links is kept.
+    """
     label = np.arange(len(fp))
     h = np.flatnonzero(home)
-    step = max(1, (1 << 21) // len(fp))
-    pairs = [np.nonzero(np.bitwise_count(fp[h[k : k + step], None] ^ fp[None, :]) <= threshold) for k in range(0, len(h), step)]
-    a = np.concatenate([h[k * step + p[0]] for k, p in enumerate(pairs)])
-    b = np.concatenate([p[1] for p in pairs])
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
+    step = max(1, COMPARED_AT_ONCE // len(fp))
+    for k in range(0, len(h), step):
+        for j in range(0, len(fp), COMPARED_AT_ONCE):
+            own, other = h[k : k + step], fp[j : j + COMPARED_AT_ONCE]
+            a, b = np.nonzero(np.bitwise_count(fp[own, None] ^ other[None, :]) <= threshold)
+            a, b = own[a], b + j
+            while (label[a] != label[b]).any():
+                low = np.minimum(label[a], label[b])
+                roots = label.copy()
+                np.minimum.at(roots, label[a], low)
+                np.minimum.at(roots, label[b], low)
+                while (roots != roots[roots]).any():
+                    roots = roots[roots]
+                label = roots[label]
     moved = np.flatnonzero(label != np.arange(len(fp)))
     return label[moved], moved
 
@@ -167,16 +206,39 @@ def links(fps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return dealt.mapInArrow(_compare(threshold), "a long, b long")
 
 
+def _components_of(of_rows: DataFrame, least: DataFrame, threshold: int) -> DataFrame:
+    """(fp, component) for the fp of ``least``: the smallest ``low`` that links reach. least: distinct fp with low."""
+    roots = C.cut(components(links(least, threshold)))
+    # fingerprints with a link get their component's smallest value, the others keep their own
+    placed = least.join(roots, least.fp == roots.node, "left").select("fp", "low", "root")
+    of_root = placed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("low").alias("component"))
+    named = placed.join(of_root, "root", "left").select("fp", F.coalesce("component", "low").alias("component"))
+    return of_rows.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp, component_id) for each row: component_id is the smallest id that links reach."""
     of_rows = C.cut(fingerprints(docs, width, 42, id_col, text_col))
     distinct = C.cut(of_rows.groupBy("fp").agg(F.min(id_col).alias("low")))
-    roots = C.cut(components(links(distinct, threshold)))
-    # fingerprints with a link get their component's smallest id, the others keep their own
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", "root")
-    of_root = placed.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("low").alias("component_id"))
-    named = placed.join(of_root, "root", "left").select("fp", F.coalesce("component_id", "low").alias("component_id"))
-    return of_rows.join(named, "fp").select(id_col, "fp", "component_id")
+    return _components_of(of_rows, distinct, threshold).select(id_col, "fp", F.col("component").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 3, threshold: int = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, of each group of near-duplicates the one with the smallest id (a null id comes last, ties go to the row read first).
+
+    Groups are of rows, not of ids: another text under the id of a copy stays, and of equal rows one stays.
+    """
+    spark = docs.sparkSession
+    rows, out = C.new_folder(spark, "rows"), C.new_folder(spark, "copies")
+    columns = tuple(dict.fromkeys([id_col, *docs.columns]))
+    known = fingerprints(docs, width, 42, id_col, text_col, columns).withColumnRenamed("fp", "__fp")
+    # with its texts: the number of a row holds only for the rows as they were read this once
+    known = C.table(known.withColumn("__row", F.monotonically_increasing_id()), rows)
+    order = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    of_rows = known.select(order.alias("at"), F.col("__fp").alias("fp"))
+    distinct = C.cut(of_rows.groupBy("fp").agg(F.min("at").alias("low")))
+    gone = C.table(_components_of(of_rows, distinct, threshold).filter("at.row <> component.row").select(F.col("at.row").alias("__row")), out)
+    return known.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def fingerprint_hex(fp: str = "fp"):
