@@ -2,7 +2,7 @@
 
 Only the piece lengths matter for the packing, so texts are tokenised once where
 they are read and a small table of pieces goes on.  Pieces of a full sequence
-need no packing.  The others are dealt by a seeded hash into groups of about
+need no packing.  The others are dealt by a seeded hash of the piece and its row into groups of about
 ``group_rows`` pieces, as many groups as the input needs; each group is packed
 by itself, longest piece first: a piece goes where the sum over all residual
 gaps of the squared number of open sequences with that gap becomes smallest
@@ -90,7 +90,9 @@ def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 20_000, id_col:
     pieces = C.cut(pieces)
     short = pieces.filter(F.col("length") < size)
     n_groups = -(-short.count() // group_rows) or 1
-    key = F.xxhash64(F.lit(SEED), id_col, "piece", "ids_crc32")
+    # with the row's number in the written pieces: equal rows are dealt to different groups
+    short = short.withColumn("__row", F.monotonically_increasing_id())
+    key = F.xxhash64(F.lit(SEED), id_col, "piece", "ids_crc32", "__row")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
 
     def run(table: pa.Table) -> pa.Table:
@@ -100,7 +102,7 @@ def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 20_000, id_col:
         group = table["__group"].to_numpy().astype(np.int64)
         return table.drop_columns(["__key", "__group"]).append_column("sequence_id", pa.array(group << 40 | sequence << 1)).append_column("offset", pa.array(offset))
 
-    packed = short.select("*", key.alias("__key"), F.pmod(key, F.lit(n_groups)).cast("int").alias("__group")).groupBy("__group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
+    packed = short.select(*pieces.columns, key.alias("__key"), F.pmod(key, F.lit(n_groups)).cast("int").alias("__group")).groupBy("__group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
     full = pieces.filter(F.col("length") == size).select("*", (F.monotonically_increasing_id() * 2 + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)
 

@@ -7,11 +7,14 @@ distinct part that the worker has not met goes through the BPE once (by
 tiktoken, from the vocabulary in the same file: its ids are merge ranks; tests
 hold the ids against the ``tokenizers`` library), and the ids of the chunk are
 put together from there.  A text with other white space is encoded as it is.
+The file's added tokens are found in a text before all else, as the library does
+by default: they get their own ids, and what stands between them is encoded.
 """
 
 from __future__ import annotations
 
 import json
+import re
 
 import numpy as np
 
@@ -54,7 +57,12 @@ class Encoder:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", [])}
+        special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        if odd := [x["content"] for x in spec.get("added_tokens", []) if x.get("lstrip") or x.get("rstrip") or x.get("single_word")]:
+            raise ValueError(f"added tokens that take in what is beside them are not known here: {odd}")
+        self.special = {k.encode(): np.array([i], np.uint32) for k, i in special.items() if k}
+        # the leftmost one counts, and of those the longest
+        self.find_special = re.compile(b"(" + b"|".join(re.escape(k) for k in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
         back = _byte_of_char()
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         own = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -100,6 +108,11 @@ class Encoder:
         self.at = np.cumsum(self.length) - self.length
         return place
 
+    def _whole(self, text: bytes) -> np.ndarray:
+        """Ids of a text that is encoded as it is, or around the added tokens that it holds."""
+        parts = self.find_special.split(text) if self.find_special else [text]
+        return np.concatenate([np.empty(0, np.uint32), *(self.special[x] if k % 2 else self.bpe(x.decode()) for k, x in enumerate(parts) if x)])
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a chunk, one after another, and where each text's ids begin and end."""
         n = len(offsets) - 1
@@ -110,6 +123,9 @@ class Encoder:
         odd[1:] |= space[1:] & space[:-1] & ~text_start[1:-1]
         plain = np.ones(n, bool)
         plain[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = False
+        if self.find_special:
+            held = [m.start() for m in self.find_special.finditer(data.tobytes())]
+            plain[np.searchsorted(offsets, np.array(held, np.int64), "right") - 1] = False
         head = space.copy()
         head[1:] |= data[:-1] == 10
         head |= text_start[:-1]
@@ -134,7 +150,7 @@ class Encoder:
         cuts = np.append(0, np.cumsum(sizes))
         if plain.all():
             return flat, cuts
-        parts = [flat[cuts[i] : cuts[i + 1]] if plain[i] else self.bpe(bytes(data[offsets[i] : offsets[i + 1]]).decode()) for i in range(n)]
+        parts = [flat[cuts[i] : cuts[i + 1]] if plain[i] else self._whole(bytes(data[offsets[i] : offsets[i + 1]])) for i in range(n)]
         return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
 
 
