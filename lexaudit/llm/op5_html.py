@@ -69,10 +69,12 @@ class Block:
     link_chars: int
 
 
-def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
+def blocks_of(page: str, labelled: bool = False) -> tuple[list[Node], list[Block]]:
+    """Elements and text blocks in page order; only ``labelled`` (training) pages have labels in ``data-y``."""
     nodes = [Node("", -1, 0, False, False, -1)]
     found: list[Block] = []
     stack, parts, links, in_link, skipped = [0], [], 0, 0, 0
+    open_at: dict[str, list[int]] = {}  # places in the stack of the open elements of each name
     at, end = 0, len(page)
 
     def flush():
@@ -86,10 +88,12 @@ def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
     def close(to: int):
         nonlocal skipped
         while len(stack) > to:
-            skipped -= nodes[stack.pop()].tag in SKIPPED_TAGS
+            tag = nodes[stack.pop()].tag
+            open_at[tag].pop()
+            skipped -= tag in SKIPPED_TAGS
 
     def index_of(tag: str) -> int:
-        return next((i for i in range(len(stack) - 1, 0, -1) if nodes[stack[i]].tag == tag), 0)
+        return open_at[tag][-1] if open_at.get(tag) else 0
 
     def text(a: int, b: int):
         nonlocal links
@@ -152,7 +156,7 @@ def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
                 name, value = name.lower(), values[0] or values[1] or values[2]
                 if name in ("class", "id", "role", "itemprop", "aria-label"):
                     names += f" {value}"
-                elif name == "data-y":
+                elif labelled and name == "data-y":
                     label = int(value)
                 elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
                     boiler = True
@@ -160,6 +164,7 @@ def blocks_of(page: str) -> tuple[list[Node], list[Block]]:
         content |= tag in ("article", "main") or bool(words & CONTENT_WORDS)
         boiler |= bool(words & BOILER_WORDS) or (tag == "header" and not content)
         nodes.append(Node(tag, stack[-1], up.depth + 1, boiler, content, label))
+        open_at.setdefault(tag, []).append(len(stack))
         stack.append(len(nodes) - 1)
         skipped += tag in SKIPPED_TAGS
         if tag in RAW_TAGS:
@@ -203,7 +208,7 @@ def train(steps: int = 3000, rate: float = 1.0, decay: float = 2e-3) -> np.ndarr
     """Weights of the block classifier from the labelled pages; the same on every run."""
     xs, ys = [], []
     for page in LABELLED:
-        nodes, found = blocks_of(page)
+        nodes, found = blocks_of(page, labelled=True)
         xs.append(features(nodes, found))
         ys += [nodes[b.node].label for b in found]
     x, y = np.concatenate(xs), np.array(ys, float)
@@ -260,10 +265,10 @@ def source_side(n: int, edges: list[tuple[int, int, int, int]], s: int, t: int)
 SCALE = 1000
 
 
-def _apart(nodes: list[Node], a: int, b: int) -> int:
-    """Steps between two elements of the tree."""
+def _apart(nodes: list[Node], a: int, b: int, most: int) -> int:
+    """Steps between two elements of the tree, or ``most`` if there are as many or more."""
     steps = 0
-    while a != b:
+    while a != b and steps < most:
         if nodes[a].depth >= nodes[b].depth:
             a = nodes[a].parent
         else:
@@ -286,7 +291,7 @@ def labelled_blocks(page: str | None, weights: np.ndarray, smooth: float = 0.4,
     for i, b in enumerate(found):
         edges += [(s, i, int(to_source[i]), 0), (i, t, int(to_sink[i]), 0)]
         if i:
-            c = int(SCALE * smooth / (1 + _apart(nodes, b.node, found[i - 1].node)))
+            c = int(SCALE * smooth / (1 + _apart(nodes, b.node, found[i - 1].node, int(SCALE * smooth))))  # farther than that is 0
             edges.append((i - 1, i, c, c))
         up = nodes[b.node].parent
         if up in last and last[up] < i - 1:

@@ -126,8 +126,7 @@ def test_tokens_equal_the_library():
     from lexaudit.llm.tokens import encoder
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
-    texts = ["a  b", " a ", "a \n b", "\n\na", "x\t y", "<|endoftext|> hi", "I'll go 123abc!!  ", "\x1cq", "", " ", "\n", "日本 語🦊", "a b", "\nb", "b\n", "“hi” c’est l’eau 's", "a b", "x y", *[r[1] or "" for r in corpus()]]
+    texts = ["a  b", " a ", "a \n b", "\n\na", "x\t y", "<|endoftext|> hi", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", "<|endoftext", "I'll go 123abc!!  ", "\x1cq", "", " ", "\n", "日本 語🦊", "a b", "\nb", "b\n", "“hi” c’est l’eau 's", "a b", "x y", *[r[1] or "" for r in corpus()]]
     for limit in (1, 400):
         got = []
         for a, b, data, offsets in C.chunks(pa.array([x.encode() for x in texts], pa.binary()), limit):
@@ -271,11 +270,46 @@ def test_extraction(spark):
     assert op5_html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     weights = op5_html.train()
     for labelled in op5_html.LABELLED:
-        nodes, found = op5_html.blocks_of(labelled)
+        nodes, found = op5_html.blocks_of(labelled, labelled=True)
         wanted = [b.text for b in found if nodes[b.node].label == 1]
         assert op5_html.main_text(labelled, weights).split("\n") == wanted
 
 
+def test_extraction_of_odd_markup():
+    import time
+
+    weights = op5_html.train()
+    prose = "The boats came in late, and few had fish. They spoke for hours."
+    for odd in (f"<p data-y='auto'>{prose}</p>", f"<p data-y>{prose}</p>", f"<p data-y=0>{prose}</p>", f"<p class>{prose}", f"</p></div>{prose}"):
+        assert op5_html.main_text(odd, weights) == prose
+    began = time.time()
+    deep = 60_000
+    assert op5_html.main_text("<div>" * deep + f"<p>{prose}</p>" + "</div>" * deep + f"<p>{prose}</p>", weights) == f"{prose}\n{prose}"
+    assert op5_html.main_text(f"<div><p>{prose}</p>" * 5_000, weights).count("\n") == 4_999
+    assert time.time() - began < 60
+
+
+def test_extraction_keeps_articles_and_drops_the_rest():
+    """Pages of a layout that is not among the labelled ones, put together from parts of known kind."""
+    rnd, weights = random.Random(6), op5_html.train()
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randint(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rnd.randint(6, 16))).capitalize() + "."
+    found = wanted = both = 0
+    for _ in range(120):
+        paragraphs = [" ".join(sentence() for _ in range(rnd.randint(1, 5))) for _ in range(rnd.randint(2, 8))]
+        links = "".join(f"<li><a href='/{word()}'>{word()} {word()}</a></li>" for _ in range(rnd.randint(3, 9)))
+        comments = "".join(f"<div class='comment'><p>{sentence()}</p></div>" for _ in range(rnd.randint(0, 4)))
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        page = (
+            f"<html><head><title>{word()}</title><style>p {{}}</style></head><body><div id='top-nav'><ul>{links}</ul></div><div class='cookie-banner'>{sentence()}</div>"
+            f"<div class='{rnd.choice(['content', 'post', 'x1'])}'><h1>{word()} {word()}</h1>{body}</div><div class='sidebar'><p>{sentence()}</p><ul>{links}</ul></div>"
+            f"<div id='comments'>{comments}</div><div class='footer'>{word()} {word()} 2021</div><script>var a = '<p>';</script></body></html>"
+        )
+        got = set(op5_html.main_text(page, weights).split("\n"))
+        found, wanted, both = found + len(got), wanted + len(paragraphs) + 1, both + len(got & {*paragraphs}) + sum(len(x.split()) == 2 for x in got)
+    assert both / wanted >= 0.97 and both / found >= 0.97, (both, wanted, found)
+
+
 # --- 6 -----------------------------------------------------------------------------------------------
 def simhash(text):
     import xxhash
