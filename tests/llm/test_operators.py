@@ -461,6 +461,32 @@ def test_sharding(spark, docs, rows, empty, tmp_path):
     assert op10_shards.shuffle_into_shards(op10_shards.row_digest(empty)).count() == 0
 
 
+def jump(key, n):
+    """Jump consistent hashing of one unsigned 64-bit key, step by step."""
+    b, j = -1, 0
+    while j < n:
+        b, key = j, (key * 2862933555777941757 + 1) % 2**64
+        j = int((b + 1) * (2.0**31 / ((key >> 33) + 1)))
+    return b
+
+
+def test_sharding_of_whole_rows_of_any_types(spark, docs, rows):
+    nested = docs.withColumns({"items": F.array(F.col("doc_id"), F.lit(None).cast("long")), "pool": F.create_map(F.lit("k"), F.col("lang")), "at": F.struct("lang", F.array(F.struct("source")).alias("x")), "a.b": F.lit(1)})
+    out = op10_shards.shuffle_into_shards(nested, bucket_rows=4)
+    assert set(out.columns) == {*nested.columns, "in_shard", "in_slot", "grown_shard"} and out.schema["items"].dataType == nested.schema["items"].dataType
+    got = out.collect()
+    assert collections.Counter((r.doc_id, r.text, r.in_shard, r.in_slot, tuple(r["items"])) for r in got) == collections.Counter((r[0], r[1], 7, 7, (r[0], None)) for r in rows)
+    keys = {r.doc_id: r.k % 2**64 for r in docs.select("doc_id", F.xxhash64(F.lit(11), "doc_id").alias("k")).collect()}
+    assert all((r.shard, r.grown_shard) == (jump(keys[r.doc_id], 8), jump(keys[r.doc_id], 9)) for r in got)
+    by_shard = collections.defaultdict(list)
+    for r in got:
+        by_shard[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by_shard.values())
+    again = op10_shards.shuffle_into_shards(nested.repartition(7), bucket_rows=4).collect()
+    key = lambda r: (str(r.doc_id), str(r.text), r.shard, r.slot)
+    assert sorted(map(key, again)) == sorted(map(key, got))
+
+
 def test_fisher_yates_is_even():
     seen = collections.Counter(tuple(op10_shards.fisher_yates(3, [s])) for s in range(6000))
     assert len(seen) == 6 and max(seen.values()) < 1200
