@@ -431,8 +431,8 @@ def test_decontamination(spark, docs, rows, empty):
                     found |= of
         want.append((r[0], len(w), len(hit), tuple(sorted(found)), bool(hit)))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for block in (8 << 20, 100):
-        got = op9_decontaminate.find_contamination(docs, bench, block_bytes=block).collect()
+    for size in (4 << 20, 100):
+        got = op9_decontaminate.find_contamination(docs, bench, range_bytes=size).collect()
         assert collections.Counter((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in got) == collections.Counter(want)
     text = {r[0]: r[1] for r in rows}
     for r in got:
