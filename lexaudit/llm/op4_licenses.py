@@ -1,23 +1,26 @@
-"""License scans: sparse TF-IDF cosine of lines to notice templates, then inheritance from the nearest ancestor directory.
-
-DataFrame functions only.  Each line of a whole text is a vector of TF-IDF
-weights over its terms (a term of no template has the weight of one that no
-template holds); a line matches its best template from ``least`` cosine on.  By
-the prefix principle a line can only reach that cosine if it holds one of a
-set of the template's terms without which the rest is too light.  Only
-lines with such a term are taken apart; nothing is lost by it.
-
-A text in which matching lines hold at least ``file_share`` of the words is a
-licence file, and covers its directory and all below it.  A text without a match
-of its own inherits from the nearest ancestor directory that has a licence file
-(the most similar one there, then the smallest id).
-
-The template weights are a constant of this module; joins with them are
-broadcast, as their size is fixed.
+"""License scans: sparse TF-IDF cosine of lines, headers and files to licence templates, then inheritance from the nearest ancestor directory.
+
+DataFrame functions only.  The units of a text are its lines, its blocks (runs
+of lines that hold a term, so that a notice wrapped over several lines or set in
+a comment is one unit) and the whole file.  Each is a vector of TF-IDF weights,
+(1 + ln tf) * idf, over its terms; a term of no template has the weight of one
+that no template holds.  A unit matches its best template from ``least`` cosine
+on.  By the prefix principle it can only reach that cosine with a template of
+which it holds one of some terms without which the rest is too light.  Texts
+without such a term leave in the one pass over the texts, and a cosine is only
+computed with templates that share such a term; nothing is lost by it.
+
+A text in which matching units of one kind hold at least ``file_share`` of the
+terms is a licence file, and covers its directory and all below it.  A text
+without a match of its own inherits from the nearest ancestor directory that has
+a licence file (the most similar one there, then the smallest id).
+
+The templates are constants of this package; joins with them are broadcast, as
+their size is fixed.
 
 Defined results: a null text matches nothing but inherits; a null path has no
 directory and inherits nothing; rows of equal id and path count as one file; ties between
-templates go by name; an empty table gives no rows.
+templates go by licence; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,116 +33,136 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .license_texts import FUNCTION_WORDS, PLAIN_WORDS, TEMPLATES
 
-#: Notices by licence (fixed values).
-TEMPLATES = {
-    "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
-    "all-rights-reserved": "All rights reserved.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "bsd-2-clause": "Licensed under the BSD 2-Clause Simplified License.",
-    "bsd-3-clause": "Licensed under the BSD 3-Clause License.",
-    "cc-by-4.0": "Licensed under CC BY 4.0.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "cc-by-nd-4.0": "Licensed under CC BY-ND 4.0.",
-    "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
-    "cc0-1.0": "Dedicated to the public domain under CC0 1.0 Universal.",
-    "epl-2.0": "Made available under the terms of the Eclipse Public License 2.0.",
-    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "isc": "Released under the ISC License.",
-    "lgpl-3.0": "This work is licensed under the GNU Lesser General Public License, version 3.",
-    "mit": "Released under the MIT License.",
-    "mpl-2.0": "Subject to the terms of the Mozilla Public License, version 2.0.",
-    "unlicense": "Released into the public domain under the Unlicense.",
-}
-#: Words of the notices that any prose holds (fixed values); they are the last to be asked for.
-PLAIN_WORDS = "all available by domain in into is made mit of public subject terms the this to under version work".split()
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Between two blocks: lines without a term.
+GAP = r"\n(?:[^a-z0-9\n]*\n)+"
 LEAST = 0.8
 
 
-def template_weights() -> tuple[dict[str, dict[str, float]], float]:
-    """Unit-length TF-IDF vectors of the templates, and the idf of a term that none of them holds."""
-    terms = {name: Counter(re.findall(TERM, text.lower())) for name, text in TEMPLATES.items()}
-    n, df = len(terms), Counter(t for c in terms.values() for t in c)
-    out = {}
-    for name, c in terms.items():
-        v = {t: k * idf(df[t], n) for t, k in c.items()}
-        size = math.sqrt(sum(x * x for x in v.values()))
-        out[name] = {t: x / size for t, x in v.items()}
-    return out, idf(0, n)
+def idf(df: int, n: int) -> float:
+    return math.log((1 + n) / (1 + df))
 
 
-def idf(df: int, n: int) -> float:
-    return math.log((1 + n) / (1 + df)) + 1
+def template_weights() -> tuple[list[dict[str, float]], dict[str, float], float]:
+    """Unit-length vectors of the templates, the idf of their terms, and that of a term that none of them holds."""
+    terms = [Counter(re.findall(TERM, text.lower())) for _, text in TEMPLATES]
+    df = Counter(t for c in terms for t in c)
+    known = {t: idf(k, len(terms)) for t, k in df.items()}
+    out = []
+    for c in terms:
+        v = {t: (1 + math.log(k)) * known[t] for t, k in c.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        out.append({t: x / size for t, x in v.items()})
+    return out, known, idf(0, len(terms))
 
 
-def needed_terms(least: float) -> list[str]:
-    """Terms of which a line holds at least one if its cosine to any template is ``least`` or more.
+def needed_terms(least: float) -> list[list[str]]:
+    """For each template, terms of which a unit holds at least one if its cosine to the template is ``least`` or more.
 
     Any set of a template's terms will do if the rest alone is too light, so plain words are left to the rest.
     """
-    found = set()
-    for v in template_weights()[0].values():
-        rest = 1.0
-        for term, x in sorted(v.items(), key=lambda item: (item[0] in PLAIN_WORDS, -item[1], item[0])):
+    out = []
+    for v in template_weights()[0]:
+        rest, found = 1.0, []
+        for term, x in sorted(v.items(), key=lambda item: (item[0] in FUNCTION_WORDS, item[0] in PLAIN_WORDS, -item[1], item[0])):
             if math.sqrt(max(rest, 0.0)) < least - 1e-9:
                 break
-            found.add(term)
+            found.append(term)
             rest -= x * x
-    return sorted(found)
+        out.append(found)
+    return out
 
 
-def line_matches(docs: DataFrame, key: list[str], text_col: str = "text", least: float = LEAST) -> DataFrame:
-    """``key``, line_no, license, similarity and n_terms of each line that matches a template (its best one)."""
+def any_of(terms: list[str]) -> str:
+    """A regular expression for any of the terms as a whole word; common beginnings are written once."""
+    tree: dict = {}
+    for t in terms:
+        at = tree
+        for ch in t:
+            at = at.setdefault(ch, {})
+        at[""] = {}
+
+    def text(node: dict) -> str:
+        ways = [re.escape(ch) + text(below) for ch, below in sorted(node.items()) if ch]
+        if not ways:
+            return ""
+        inner = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+        return (inner if len(ways) == 1 and len(inner) == 1 else f"(?:{inner})") + "?" if "" in node else inner
+
+    return rf"(?<![a-z0-9]){text(tree)}(?![a-z0-9])"
+
+
+def _constants(spark, columns: str, rows: list[tuple]) -> DataFrame:
+    values = ", ".join("(" + ", ".join(repr(x) + "D" if isinstance(x, float) else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS v({columns})"))
+
+
+def unit_matches(docs: DataFrame, key: list[str], text_col: str = "text", least: float = LEAST) -> DataFrame:
+    """Each unit of a text that may match: ``key``, kind (line, block, file), n_terms, and the best license and similarity (null if under ``least``)."""
     spark = docs.sparkSession
-    vectors, unknown = template_weights()
-    df = Counter(t for v in vectors.values() for t in v)
-    values = ", ".join(f"('{name}', '{t}', {x!r}D, {idf(df[t], len(vectors))!r}D)" for name, v in vectors.items() for t, x in v.items())
-    weights = F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS v(license, term, weight, idf)"))
-    hint = r"(?<![a-z0-9])(?:" + "|".join(re.escape(t) for t in needed_terms(least)) + r")(?![a-z0-9])"
-    lines = docs.select(*key, F.posexplode(F.split(F.lower(text_col), "\n")).alias("line_no", "line")).filter(F.col("line").rlike(hint))
-    terms = lines.select(*key, "line_no", F.regexp_extract_all("line", F.lit(TERM), 0).alias("terms"))
-    terms = terms.select(*key, "line_no", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    counted = terms.groupBy(*key, "line_no", "n_terms", "term").agg(F.count("*").alias("tf"))
-    joined = counted.join(F.broadcast(weights.select("term", "idf").distinct()), "term", "left")
-    size = joined.groupBy(*key, "line_no", "n_terms").agg(F.sqrt(F.sum((F.col("tf") * F.coalesce("idf", F.lit(unknown))) ** 2)).alias("size"))
-    dot = counted.join(weights, "term").groupBy(*key, "line_no", "license").agg(F.sum(F.col("tf") * F.col("idf") * F.col("weight")).alias("dot"))
-    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*key, "line_no"]]
-    on = same[0]
-    for x in same[1:]:
-        on = on & x
-    cosine = dot.alias("d").join(size.alias("s"), on).select(*[F.col(f"s.{k}") for k in key], "s.line_no", "license", "n_terms", F.round(F.col("dot") / F.col("size"), 6).alias("similarity"))
-    best = cosine.filter(F.col("similarity") >= least).groupBy(*key, "line_no", "n_terms").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
-    return best.select(*key, "line_no", "n_terms", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity"))
+    vectors, known, unknown = template_weights()
+    needed = needed_terms(least)
+    of_term = _constants(spark, "term, idf", list(known.items()))
+    weights = _constants(spark, "template, term, weight", [(i, t, x * known[t]) for i, v in enumerate(vectors) for t, x in v.items()])
+    needs = _constants(spark, "template, term", [(i, t) for i, own in enumerate(needed) for t in own])
+    licences = _constants(spark, "template, license", [(i, name) for i, (name, _) in enumerate(TEMPLATES)])
+    hint = any_of(sorted({t for own in needed for t in own}))
+
+    folder = C.new_folder(spark, "licenses")
+    low = docs.select(*key, F.lower(text_col).alias("__t")).filter(F.col("__t").rlike(hint))
+    unit = lambda kind, parts: F.transform(parts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("unit")))
+    units = low.select(*key, F.inline(F.concat(unit("line", F.split("__t", "\n")), unit("block", F.split("__t", GAP)), unit("file", F.array("__t")))))
+    units = units.filter((F.col("kind") == "file") | F.col("unit").rlike(hint))
+    units = units.select(*key, "kind", F.regexp_extract_all("unit", F.lit(TERM), 0).alias("terms"))
+    # written once: the number of a unit holds for all that follows
+    units = C.table(units.select(*key, "kind", F.size("terms").cast("long").alias("n_terms"), "terms").withColumn("unit", F.monotonically_increasing_id()), f"{folder}/units")
+    counted = C.table(units.select("unit", F.explode("terms").alias("term")).groupBy("unit", "term").agg((1 + F.log(F.count("*"))).alias("tf")), f"{folder}/counted")
+    size = counted.join(of_term, "term", "left").groupBy("unit").agg(F.sqrt(F.sum((F.col("tf") * F.coalesce("idf", F.lit(unknown))) ** 2)).alias("size"))
+    pairs = counted.join(needs, "term").select("unit", "template").distinct()
+    dot = pairs.join(counted, "unit").join(weights, ["template", "term"]).groupBy("unit", "template").agg(F.sum(F.col("tf") * F.col("weight")).alias("dot"))
+    cosine = dot.join(size, "unit").select("unit", "template", F.round(F.col("dot") / F.col("size"), 6).alias("similarity")).filter(F.col("similarity") >= least)
+    best = cosine.join(licences, "template").groupBy("unit").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"))
+    out = C.table(units.drop("terms").join(best, "unit", "left").select(*key, "kind", "n_terms", F.col("b.license").alias("license"), (-F.col("b.s")).alias("similarity")), f"{folder}/best")
+    C.drop(spark, f"{folder}/units", f"{folder}/counted")
+    return out
 
 
 def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", least: float = LEAST, file_share: float = 0.4) -> DataFrame:
     """id, path, license, similarity, origin (header, file, inherited, none) and covered_by (the directory inherited from)."""
     rows = files.select(F.col(id_col).alias("__id"), path.alias("path"), F.col(text_col).alias("__text"))
-    matches = line_matches(rows, ["__id", "path"], "__text", least)
-    own = matches.groupBy("__id", "path").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "license")).alias("b"), F.sum("n_terms").alias("covered"))
-    n_terms = F.size(F.regexp_extract_all(F.lower("__text"), F.lit(TERM), 0))
-    # few texts hold a notice: their list is broadcast if it is counted short, and only they are measured as a whole
-    own = C.small_side(own, 128)
+    units = unit_matches(rows, ["__id", "path"], "__text", least)
+    of_kind = lambda kind, what: F.coalesce(F.sum(F.when((F.col("kind") == kind) & what, F.col("n_terms"))), F.lit(0))
+    matched = F.col("license").isNotNull()
+    own = units.groupBy("__id", "path").agg(
+        F.min(F.when(matched, F.struct((-F.col("similarity")).alias("s"), "license"))).alias("b"),
+        F.greatest(*[of_kind(k, matched) for k in ("line", "block", "file")]).alias("covered"), of_kind("file", F.lit(True)).alias("n_terms"),
+    )
+    own = own.filter("b is not null")
     base = rows.alias("r").join(own.alias("o"), F.col("r.__id").eqNullSafe(F.col("o.__id")) & F.col("r.path").eqNullSafe(F.col("o.path")), "left")
     base = base.select(
         "r.__id", "r.path", F.when(F.col("r.path").isNotNull(), folder_of("r.path")).alias("folder"), F.col("o.b.license").alias("license"), (-F.col("o.b.s")).alias("similarity"),
-        F.when(F.col("o.b").isNotNull(), F.col("o.covered") >= file_share * n_terms).otherwise(False).alias("is_file"),
+        F.coalesce(F.col("o.covered") >= file_share * F.col("o.n_terms"), F.lit(False)).alias("is_file"),
     )
     base = C.cut(base)
     covers = base.filter(F.col("is_file") & F.col("folder").isNotNull()).groupBy("folder").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("__id").alias("id"), "license")).alias("c"))
-    parts = F.split("folder", "/")
-    folders = base.filter(F.col("folder").isNotNull()).select("folder").distinct()
-    up = folders.select("folder", F.explode(F.sequence(F.lit(0), F.when(F.col("folder") == "", F.lit(0)).otherwise(F.size(parts)))).alias("depth"))
-    up = up.select("folder", "depth", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.call_function("substring_index", F.col("folder"), F.lit("/"), F.col("depth"))).alias("above"))
-    nearest = up.join(covers.withColumnRenamed("folder", "above"), "above").groupBy("folder").agg(F.max(F.struct("depth", "above", F.col("c.license").alias("license"), (-F.col("c.s")).alias("similarity"))).alias("n"))
+    covers = C.cut(covers.select(F.col("folder").alias("above"), F.col("c.license").alias("license"), (-F.col("c.s")).alias("similarity")))
+    # the root, which all directories share, is one row and no key of a join
+    root = covers.filter("above = ''").first()
+    bare = base.filter(F.col("folder").isNotNull() & F.col("license").isNull()).select("folder").distinct()
+    depth = F.sequence(F.lit(1), F.size(F.split("folder", "/")))
+    up = bare.filter("folder <> ''").select("folder", F.explode(depth).alias("depth"))
+    up = up.select("folder", "depth", F.call_function("substring_index", F.col("folder"), F.lit("/"), F.col("depth")).alias("above"))
+    nearest = up.join(covers.filter("above <> ''"), "above").groupBy("folder").agg(F.max(F.struct("depth", "above", "license", "similarity")).alias("n"))
     out = base.join(nearest, "folder", "left")
-    mine = F.col("license").isNotNull()
+    mine, inherits = F.col("license").isNotNull(), F.col("license").isNull() & F.col("folder").isNotNull()
+    at_root = {"above": F.lit(None).cast("string"), "license": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double")} if root is None else {k: F.lit(root[k]) for k in root.asDict()}
+    given = {k: F.when(inherits, F.coalesce(F.col(f"n.{k}"), v)) for k, v in at_root.items()}
     return out.select(
-        F.col("__id").alias(id_col), "path", F.coalesce("license", "n.license").alias("license"), F.coalesce("similarity", "n.similarity").alias("similarity"),
-        F.when(F.col("is_file"), "file").when(mine, "header").when(F.col("n").isNotNull(), "inherited").otherwise("none").alias("origin"),
-        F.when(~mine, F.col("n.above")).alias("covered_by"),
+        F.col("__id").alias(id_col), "path", F.coalesce("license", given["license"]).alias("license"), F.coalesce("similarity", given["similarity"]).alias("similarity"),
+        F.when(F.col("is_file"), "file").when(mine, "header").when(given["license"].isNotNull(), "inherited").otherwise("none").alias("origin"),
+        given["above"].alias("covered_by"),
     )
 
 

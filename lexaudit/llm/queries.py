@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common as C
+from .license_texts import TEMPLATES
 from .op1_lm import lm_scores
 from .op2_packing import pack_documents
 from .op3_lines import dedup_lines
-from .op4_licenses import LEAST, TEMPLATES, TERM, scan
+from .op4_licenses import GAP, LEAST, TERM, scan
 from .op5_html import extract
 from .op6_simhash import fingerprint_hex, near_duplicates
 from .op7_quality import quality_verdicts
@@ -109,23 +110,25 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (r) LEFT JOIN k USING (r)""",
 }
 
-_VALUES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
+_VALUES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES))
 ORACLE["op4_license_scan"] = rf"""
-WITH t AS (SELECT * FROM (VALUES {_VALUES}) AS v(license, text)),
-tt AS (SELECT license, term, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM t) GROUP BY ALL),
-idf AS (SELECT term, ln((1 + (SELECT count(*) FROM t)) / (1 + count(*))::DOUBLE) + 1 AS idf FROM tt GROUP BY term),
-w AS (SELECT license, term, idf, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY license)) AS weight FROM tt JOIN idf USING (term)),
-d AS (SELECT doc_id, text, CASE WHEN doc_id % 10 = 0 THEN concat_ws('/', source, doc_id) WHEN doc_id % 10 < 4 THEN concat_ws('/', source, lang, doc_id) ELSE concat_ws('/', source, lang, doc_id // 100, doc_id) END AS path FROM documents),
-l AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM d),
-x AS MATERIALIZED (SELECT doc_id, line_no, regexp_extract_all(line, '{TERM}') AS terms FROM l),
-c AS MATERIALIZED (SELECT doc_id, line_no, n_terms, term, count(*) AS tf FROM (SELECT doc_id, line_no, len(terms) AS n_terms, unnest(terms) AS term FROM x) GROUP BY ALL),
-z AS (SELECT doc_id, line_no, n_terms, sqrt(sum((tf * coalesce(idf, ln(1 + (SELECT count(*) FROM t)) + 1)) ** 2)) AS size FROM c LEFT JOIN idf USING (term) GROUP BY ALL),
-o AS (SELECT doc_id, line_no, license, sum(tf * idf * weight) AS dot FROM c JOIN w USING (term) GROUP BY ALL),
-cs AS (SELECT doc_id, line_no, n_terms, license, round(dot / size, 6) AS similarity FROM o JOIN z USING (doc_id, line_no) WHERE round(dot / size, 6) >= {LEAST}),
-bl AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY similarity DESC, license) = 1),
-own AS (SELECT doc_id, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity, sum(n_terms) AS covered FROM bl GROUP BY doc_id),
+WITH t AS (SELECT * FROM (VALUES {_VALUES}) AS v(template, license, text)),
+tt AS (SELECT template, term, 1 + ln(count(*)) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM t) GROUP BY ALL),
+idf AS (SELECT term, ln((1 + (SELECT count(*) FROM t)) / (1 + count(*))::DOUBLE) AS idf FROM tt GROUP BY term),
+w AS (SELECT template, term, idf, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY template)) AS weight FROM tt JOIN idf USING (term)),
+d AS (SELECT doc_id, lower(text) AS text, CASE WHEN doc_id % 10 = 0 THEN concat_ws('/', source, doc_id) WHEN doc_id % 10 < 4 THEN concat_ws('/', source, lang, doc_id) ELSE concat_ws('/', source, lang, doc_id // 100, doc_id) END AS path FROM documents),
+u AS (SELECT doc_id, 'line' AS kind, unnest(string_split(text, chr(10))) AS part FROM d UNION ALL SELECT doc_id, 'block', unnest(string_split_regex(text, '{GAP}')) FROM d UNION ALL SELECT doc_id, 'file', text FROM d),
+x AS MATERIALIZED (SELECT doc_id, kind, row_number() OVER () AS unit, regexp_extract_all(part, '{TERM}') AS terms FROM u),
+c AS MATERIALIZED (SELECT unit, term, 1 + ln(count(*)) AS tf FROM (SELECT unit, unnest(terms) AS term FROM x) GROUP BY ALL),
+z AS (SELECT unit, sqrt(sum((tf * coalesce(idf, ln(1 + (SELECT count(*) FROM t)))) ** 2)) AS size FROM c LEFT JOIN idf USING (term) GROUP BY unit),
+o AS (SELECT unit, template, sum(tf * idf * weight) AS dot FROM c JOIN w USING (term) GROUP BY ALL),
+cs AS (SELECT unit, license, round(dot / size, 6) AS similarity FROM o JOIN z USING (unit) JOIN t USING (template) WHERE round(dot / size, 6) >= {LEAST}),
+bl AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY unit ORDER BY similarity DESC, license) = 1),
+k AS (SELECT doc_id, kind, sum(len(terms)) AS covered FROM bl JOIN x USING (unit) GROUP BY ALL),
+own AS (SELECT doc_id, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity FROM bl JOIN x USING (unit) GROUP BY doc_id),
+m AS (SELECT doc_id, max(covered) AS covered FROM k GROUP BY doc_id),
 b AS (SELECT d.doc_id, path, license, similarity, path[1 : greatest(len(path) - len(string_split(path, '/')[-1]) - 1, 0)] AS folder,
-  coalesce(covered >= 0.4 * len(regexp_extract_all(lower(text), '{TERM}')), FALSE) AS is_file FROM d LEFT JOIN own USING (doc_id)),
+  coalesce(covered >= 0.4 * len(regexp_extract_all(text, '{TERM}')), FALSE) AS is_file FROM d LEFT JOIN own USING (doc_id) LEFT JOIN m USING (doc_id)),
 cov AS (SELECT folder AS above, arg_min(license, (-similarity, doc_id)) AS license, max(similarity) AS similarity FROM b WHERE is_file GROUP BY folder),
 n AS (SELECT f.folder, above, cov.license, cov.similarity FROM (SELECT DISTINCT folder FROM b) f JOIN cov ON f.folder = above OR above = '' OR starts_with(f.folder, above || '/') QUALIFY row_number() OVER (PARTITION BY f.folder ORDER BY len(above) DESC) = 1)
 SELECT doc_id, path, coalesce(b.license, n.license) AS license, coalesce(b.similarity, n.similarity) AS similarity,

@@ -242,6 +242,82 @@ def test_license_scan(spark, empty):
     assert op4_licenses.scan(empty, "doc_id", F.col("source")).count() == 0
 
 
+def license_brute(texts):
+    """Best (license, similarity) of each text over its lines, blocks and the whole, by plain counting."""
+    from lexaudit.llm.license_texts import TEMPLATES
+
+    term = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
+    n, bags = len(TEMPLATES), [collections.Counter(term.findall(t.lower())) for _, t in TEMPLATES]
+    df = collections.Counter(t for b in bags for t in b)
+    vector = lambda bag: {t: (1 + math.log(k)) * math.log((1 + n) / (1 + df[t])) for t, k in bag.items()}
+    size = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(name, vector(b)) for (name, _), b in zip(TEMPLATES, bags, strict=True)]
+    out = []
+    for text in texts:
+        low = text.lower()
+        found = []
+        for unit in {*low.split("\n"), *re.split(r"\n(?:[^a-z0-9\n]*\n)+", low), low}:
+            v = vector(collections.Counter(term.findall(unit)))
+            for name, w in known if size(v) else ():
+                c = round(sum(x * w.get(t, 0) for t, x in v.items()) / size(v) / size(w), 6)
+                if c >= 0.8:
+                    found.append((-c, name))
+        out.append((min(found)[1], -min(found)[0]) if found else (None, None))
+    return out
+
+
+def test_license_texts_and_headers(spark):
+    """Headers in comments, wrapped notices, whole licence files, tags; none of them is a template letter by letter."""
+    import textwrap
+
+    from lexaudit.llm.license_texts import TEMPLATES
+
+    text = lambda name, k: [t for n, t in TEMPLATES if n == name][k]
+    wrap = lambda t, mark, width=60: "\n".join(f"{mark} {x}" for x in textwrap.wrap(t, width))
+    code = "\n\nimport os\n\ndef run(path):\n    return os.listdir(path)\n" * 40
+    rnd = random.Random(3)
+    files = [
+        ("mit", "Copyright (c) 2021 Some One\n\n" + textwrap.fill(text("mit", 2), 70)), ("mit", "# SPDX-License-Identifier: MIT\nimport sys"), ("mit", "MIT License\n\nCopyright (c) 2019 A. Person\n\n" + text("mit", 2)),
+        ("apache-2.0", wrap("Copyright 2018 The Makers. " + text("apache-2.0", 1), " *") + code), ("apache-2.0", "/*\n" + wrap(text("apache-2.0", 1), " *", 40) + "\n */" + code), ("bsd-3-clause", "Copyright 2001\n\n" + textwrap.fill(text("bsd-3-clause", 1), 80)),
+        ("bsd-2-clause", textwrap.fill(text("bsd-2-clause", 1).replace("COPYRIGHT HOLDER", "REGENTS"), 50)), ("gpl-3.0", wrap(text("gpl-3.0", 1).replace("This program", "Foo").replace("this program", "Foo"), "#") + code), ("gpl-2.0", wrap(text("gpl-2.0", 1), ";;")),
+        ("lgpl-2.1", wrap(text("lgpl-2.1", 0), "//")), ("agpl-3.0", wrap(text("agpl-3.0", 1), "--")), ("gpl-3.0", textwrap.fill(text("gpl-3.0", 2), 45) + "\n\nPreamble\n\nThe licence goes on with many words of its own here."), ("mpl-2.0", wrap(text("mpl-2.0", 1), "%", 30)),
+        ("isc", "\n".join(textwrap.wrap(text("isc", 1), 66))), ("zlib", text("zlib", 0)[:-40]), ("unlicense", textwrap.fill(text("unlicense", 1), 72)), ("cc-by-sa-4.0", "// " + text("cc-by-sa-4.0", 1)), (None, "The software is provided to all persons. Permission is not a notice, and this is prose about a license."),
+        (None, "x" * 200_000), (None, "license " * 20_000), (None, "All rights are equal and nothing was reserved for anyone at the large table by the window."), (None, "GNU is an animal. " * 10),
+    ]
+    files += [(None, " ".join(rnd.choice(text("mit", 2).split()) for _ in range(rnd.randint(1, 40)))) for _ in range(40)]
+    rows = [(i, f"d{i}/f", t) for i, (_, t) in enumerate(files)] + [(0, "d0/f", files[0][1])] * 2
+    got = op4_licenses.scan(spark.createDataFrame(rows, "i int, p string, t string").withColumns({c: F.lit(1) for c in ("unit", "kind", "license", "term")}), "i", F.col("p"), "t").collect()
+    assert len(got) == len(rows)
+    wanted = license_brute([t for _, t in files])
+    for r in got:
+        assert (r.license, r.similarity) == wanted[r.i], (r, wanted[r.i])
+        assert r.i >= len(files) - 40 or r.license == files[r.i][0], (r, files[r.i])
+    assert {r.origin for r in got if r.i in (0, 2, 5)} == {"file"} and {r.origin for r in got if r.i in (3, 4, 7)} == {"header"}
+
+
+def test_license_inheritance_by_nearest_directory(spark):
+    rnd, notice = random.Random(12), "Released under the MIT License."
+    other = "Licensed under the Apache License, Version 2.0."
+    for root in (False, True):
+        paths = ["/".join(["a", "b", "c", "d", "e"][k] if rnd.random() < 0.7 else f"x{rnd.randint(0, 2)}" for k in range(rnd.randint(0, 5))) for _ in range(150)]
+        rows = [(i, f"{p}/n{i}".lstrip("/"), rnd.choice([notice, other]) if rnd.random() < 0.15 and (p or root) else "prose") for i, p in enumerate(paths)]
+        rows += [(900, "n900", notice)] if root else []
+        folder = lambda p: p.rpartition("/")[0]
+        covers = {}
+        for i, p, t in rows:
+            if t != "prose":
+                covers.setdefault(folder(p), ("mit" if t == notice else "apache-2.0"))
+        got = op4_licenses.scan(spark.createDataFrame(rows, "i int, p string, t string"), "i", F.col("p"), "t").collect()
+        for r in got:
+            up, t = folder(r.path), next(x[2] for x in rows if x[0] == r.i)
+            if t == "prose":
+                while up not in covers and up:
+                    up = folder(up)
+                assert (r.license, r.covered_by) == ((covers[up], up) if up in covers else (None, None)), r
+            else:
+                assert r.origin == "file" and r.covered_by is None
+
+
 # --- 5 -----------------------------------------------------------------------------------------------
 def cut_value(edges, side):
     return sum(c * (side[u] and not side[v]) + b * (side[v] and not side[u]) for u, v, c, b in edges)
