@@ -471,6 +471,92 @@ def test_quality_rejects_outliers(spark):
     assert sum(got[i] for i in range(300)) >= 298 and not any(got[1000 + i] for i in range(40))
 
 
+def mcd_brute(x, share=op7_quality.SHARE, starts=60, seed=1):
+    """The least determinant by many random starts and concentration steps on exact distances (numpy); (log det, mean, covariance)."""
+    target, k, rng = np.diag(np.array(list(op7_quality.FLOORS.values())) ** 2), x.shape[1], np.random.Generator(np.random.PCG64(seed))
+    factor, h, best = op7_quality.consistency(share, k), int(np.ceil(share * len(x))), None
+    fit = lambda own, f: (own.mean(0), np.cov(own.T, bias=True) * f + target)
+    for _ in range(starts):
+        m, c = fit(x[rng.choice(len(x), min(len(x), 2 * k), replace=False)], 1.0)
+        last = np.inf
+        while True:
+            d = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+            m, c = fit(x[np.argsort(d, kind="stable")[:h]], factor)
+            det = np.linalg.slogdet(c)[1]
+            if det > last - 1e-9:
+                break
+            last = det
+        if best is None or last < best[0]:
+            best = (last, m, c)
+    return best
+
+
+def test_determinant_is_the_least(spark):
+    rng, names = np.random.Generator(np.random.PCG64(7)), list(op7_quality.FLOORS)
+    pools = {}
+    for name, n, bad in (("plain", 200, 0.0), ("apart", 300, 0.2), ("leaning", 250, 0.15), ("flat", 120, 0.1)):
+        mix = rng.normal(size=(5, 5)) * 1.5
+        x = rng.normal(size=(n, 5)) @ mix + 5
+        if name == "flat":
+            x[:, 2:] = 0.0
+        m = int(bad * n)
+        x[:m] = x[:m] + (30.0 if name == "apart" else 0) if name != "leaning" else rng.normal(size=(m, 5)) * 0.3 + np.array([20, -15, 10, 5, 0])
+        if name == "flat":
+            x[:m, 3] = 4.0
+        pools[name] = x
+    rows = spark.createDataFrame([(k, *map(float, r)) for k, x in pools.items() for r in x], "pool string, " + ", ".join(f"{c} double" for c in names))
+    got = {r.pool: r for r in op7_quality.determinant_estimates(rows).collect()}
+    for k, x in pools.items():
+        det, mean, _ = mcd_brute(x)
+        assert got[k].det <= det + 0.05, (k, got[k].det, det)
+        assert np.allclose([got[k][f"m_{c}"] for c in names], mean, atol=0.15 * (1 + x.std(0).max() / 5)), k
+
+
+def test_quality_verdicts_are_the_rule(spark):
+    """Verdicts of whole texts in groups of their own, pooled by language and pooled together, against the rule in numpy."""
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    rows = []
+    for i in range(420):
+        text = " ".join(word() for _ in range(int(rnd.lognormvariate(4.8, 0.4)) + 50))
+        kind = rnd.random()
+        text = text.replace(" ", " ## ", rnd.randint(20, 80)) if kind < 0.05 else "\n".join([text] + ["a line that is there again"] * 40) if kind < 0.1 else text
+        text = text if kind < 0.95 else " ".join(w * 4 for w in text.split())
+        lang, source = rnd.choice([("en", "a")] * 8 + [("en", None)] * 4 + [(None, "b"), ("fr", "c"), ("fr", "d"), ("fr", "e"), ("fr", "f")])
+        rows.append((i, text, lang, source, 1))
+    rows += [(500 + i, "too short " * 10, "en", "a", 1) for i in range(20)] + [(600, rows[0][1], *rows[0][2:])]
+    got = {r.doc_id: r for r in op7_quality.quality_verdicts(spark.createDataFrame(rows, SCHEMA)).collect()}
+    stats = {}
+    for i, r in got.items():
+        n, c = max(r.n_words, 1), max(r.word_chars, 1)
+        stats[i] = np.array([math.log1p(r.n_words), math.log(c / n), math.log1p(1000 * r.n_symbols / c), math.log1p(r.n_dup_lines), math.log1p(100 * r.n_repeat_words / n)])
+    fit = [r for r in rows if not got[r[0]].base_failed]
+    sizes, langs = collections.Counter((r[2], r[3]) for r in fit), collections.Counter()
+    for (lang, _), n in sizes.items():
+        langs[lang] += n if n < 50 else 0
+    pool = lambda r: (r[2], r[3]) if sizes[r[2], r[3]] >= 50 else (r[2],) if langs[r[2]] >= 50 else ()
+    limit, near, wrong, rejected = op7_quality.chi_square_quantile(0.999, 5), 0, [], 0
+    for p in {pool(r) for r in fit}:
+        ids = [r[0] for r in fit if pool(r) == p]
+        x = np.array([stats[i] for i in ids])
+        _, m, c = mcd_brute(x, starts=20)
+        squared = lambda m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)  # noqa: E731, B023
+        own = x[squared(m, c) <= op7_quality.chi_square_quantile(0.975, 5)]
+        d = squared(own.mean(0), np.cov(own.T, bias=True) * op7_quality.consistency(0.975, 5) + np.diag(np.array(list(op7_quality.FLOORS.values())) ** 2))
+        for i, q in zip(ids, d, strict=True):
+            near += abs(q / limit - 1) < 0.1
+            rejected += q > limit
+            if abs(q / limit - 1) >= 0.1 and got[i].kept != (q <= limit):
+                wrong.append((p, i, q, got[i].distance))
+    assert not wrong and near <= 8 and rejected >= 25, (wrong, near, rejected)
+    assert all(got[500 + i].base_failed and not got[500 + i].kept for i in range(20)) and got[600].kept == got[0].kept
+
+
+def test_quantiles():
+    for k, p, x in ((5, 0.5, 4.35146), (5, 0.975, 12.8325), (5, 0.999, 20.5150), (1, 0.95, 3.84146), (7, 0.01, 1.23904)):
+        assert op7_quality.chi_square_quantile(p, k) == pytest.approx(x, rel=1e-5)
+
+
 # --- 8 -----------------------------------------------------------------------------------------------
 def test_language(spark, docs, rows, empty):
     own = {"en": "the and of with that this is not are there", "de": "der die und mit das ist nicht auch ein es", "fr": "le la et avec que est pas une des les", "es": "el la y con que es no una los las"}
