@@ -7,8 +7,9 @@ a comment is one unit) and the whole file.  Each is a vector of TF-IDF weights,
 that no template holds.  A unit matches its best template from ``least`` cosine
 on.  By the prefix principle it can only reach that cosine with a template of
 which it holds one of some terms without which the rest is too light.  Texts
-without such a term leave in the one pass over the texts, and a cosine is only
-computed with templates that share such a term; nothing is lost by it.
+without such a term leave in the one pass over the texts, as do units with too
+many terms of no template; a cosine is only computed with templates that share
+such a term.  Nothing is lost by it.
 
 A text in which matching units of one kind hold at least ``file_share`` of the
 terms is a licence file, and covers its directory and all below it.  A text
@@ -99,6 +100,19 @@ def _constants(spark, columns: str, rows: list[tuple]) -> DataFrame:
     return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS v({columns})"))
 
 
+def _may_match(terms: Column, distinct: Column, known: dict[str, float], unknown: float, least: float) -> Column:
+    """False only for units whose cosine to any template is under ``least``, from the numbers of their terms alone.
+
+    A cosine is at most the share of a unit's length that lies in terms of templates.  Of k such terms with m occurrences
+    the squared length is at most k (1 + ln(m / k))^2 times the largest squared idf (the logarithm is concave), and each
+    other term adds at least the squared idf of a term that no template holds.
+    """
+    others = F.size(F.array_except(distinct, F.array(*map(F.lit, sorted(known)))))
+    k, m = F.size(distinct) - others, F.size(terms) - others
+    inside = k * (1 + F.log(m / k)) ** 2 * max(known.values()) ** 2
+    return F.when(k > 0, others * unknown**2 * least**2 <= inside * (1 - least**2) * (1 + 1e-9)).otherwise(False)
+
+
 def unit_matches(docs: DataFrame, key: list[str], text_col: str = "text", least: float = LEAST) -> DataFrame:
     """Each unit of a text that may match: ``key``, kind (line, block, file), n_terms, and the best license and similarity (null if under ``least``)."""
     spark = docs.sparkSession
@@ -116,6 +130,7 @@ def unit_matches(docs: DataFrame, key: list[str], text_col: str = "text", least:
     units = low.select(*key, F.inline(F.concat(unit("line", F.split("__t", "\n")), unit("block", F.split("__t", GAP)), unit("file", F.array("__t")))))
     units = units.filter((F.col("kind") == "file") | F.col("unit").rlike(hint))
     units = units.select(*key, "kind", F.regexp_extract_all("unit", F.lit(TERM), 0).alias("terms"))
+    units = units.select("*", F.array_distinct("terms").alias("distinct")).filter(_may_match(F.col("terms"), F.col("distinct"), known, unknown, least))
     # written once: the number of a unit holds for all that follows
     units = C.table(units.select(*key, "kind", F.size("terms").cast("long").alias("n_terms"), "terms").withColumn("unit", F.monotonically_increasing_id()), f"{folder}/units")
     counted = C.table(units.select("unit", F.explode("terms").alias("term")).groupBy("unit", "term").agg((1 + F.log(F.count("*"))).alias("tf")), f"{folder}/counted")
