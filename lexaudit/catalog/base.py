@@ -39,12 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").alias("domain"), F.col("source").alias("source_id"))
+    return _examples(table(spark, sf_dir, "documents"))
+
+
+def _examples(docs: DataFrame) -> DataFrame:
+    more = [c for c in docs.columns if c in ("label", "quality")]
+    d = docs.select(*more, "doc_id", F.col("doc_id").cast("string").alias("id"), "text", F.col("lang").alias("domain"), F.col("source").alias("source_id"))
     h = H.hash_int("id") % 10
     d = d.withColumn("split", F.when(h < 6, "development").when(h < 8, "calibration").otherwise("test"))
     d = d.withColumn("version", F.when(F.col("doc_id") % 3 == 0, "v0").when(F.col("doc_id") % 3 == 1, "v2").otherwise("v4"))
     d = d.withColumn("generator", F.when(F.col("doc_id") % 4 == 0, "held-out").when(F.col("doc_id") % 4 == 1, "gen-a").otherwise("gen-b"))
-    d = d.withColumn("n_words", F.size(T.words("text")))
+    # the count goes through a generator of one row: filters on what follows from it stay above, so that words are found once
+    d = d.select("*", F.inline(F.array(F.struct(F.size(T.words("text")).alias("n_words")))))
     d = d.withColumn("status", F.when(F.col("doc_id") % 97 == 5, "failed").when(F.col("n_words") < 8, "insufficient").otherwise("scored"))
     d = d.withColumn("raw", F.when(F.col("status") == "scored", H.hash_unit("id")))
     return d.withColumn("calibrated", F.round(H.calibrate("raw", WEIGHT, INTERCEPT), 6))
@@ -53,7 +59,7 @@ def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Examples with label 1 for toxic documents; the small label table decides the join's size."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"), "quality")
-    return examples(spark, sf_dir).join(labels, "doc_id")
+    return _examples(table(spark, sf_dir, "documents").join(labels, "doc_id"))
 
 
 WORD_SQL = r"'[\p{L}\p{N}]+(?:[''’]\p{L}+)*'"

@@ -41,7 +41,7 @@ def normalized_text(spark, d):
 
 @query(f"WITH {_SHINGLES} SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id")
 def shingle_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(T.shingles("text")).cast("long").alias("n_shingles"))
+    return table(spark, d, "documents").select("doc_id", F.size(T.shingle_hashes("text")).cast("long").alias("n_shingles"))
 
 
 @query(r"SELECT count(*) AS n_tokens, count(DISTINCT t) AS n_distinct FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS t FROM documents)")

@@ -103,10 +103,9 @@ def near_duplicate_pairs(df: DataFrame, id_col: str, text_col: str = "text", lea
     """
     spark = df.sparkSession
     reps = df.select(F.col(id_col).alias("id"), T.normalized(text_col).alias("t")).groupBy(H.digest("t").alias("k")).agg(F.min("id").alias("id"))
-    sets = df.select(F.col(id_col).alias("id"), T.shingles(text_col).alias("s")).join(reps.select("id"), "id", "left_semi")
-    sets = sets.select("id", F.transform("s", lambda x: F.xxhash64(x)).alias("s")).select("id", F.size("s").alias("n"), "s")
-
-    sets = cut(spark, sets)
+    # the sets are written once, as hashes; size and elements come from there
+    sets = cut(spark, df.select(F.col(id_col).alias("id"), T.shingle_hashes(text_col).alias("s")).join(reps.select("id"), "id", "left_semi"))
+    sets = sets.select("id", F.size("s").alias("n"), "s")
     each = sets.select("id", "n", F.explode("s").alias("h"))
     frequent = each.groupBy("h").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "h"))
