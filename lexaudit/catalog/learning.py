@@ -78,14 +78,21 @@ def loso_prior(spark, d):
     return rows.join(rest, "source_id").select("doc_id", "prior")
 
 
+def _features(spark, d):
+    """Six features of each labelled document: its raw score, mean and upper of its word scores, and three stand-in style scores."""
+    rows = labelled(spark, d)
+    words = S.word_scores(S.word_questions(rows.select("doc_id", "text"), "doc_id"), "doc_id")
+    style = [H.hash_unit(F.concat_ws(":", "id", F.lit(f"style{k}"))) for k in range(3)]
+    both = rows.select("doc_id", "id", "source_id", "label", "status", "raw", "text").join(S.prefix_mean(words, "doc_id").drop("n"), "doc_id", "left").join(S.prefix_upper(words, "doc_id"), "doc_id", "left")
+    six = F.array("raw", F.coalesce("mean", F.lit(0.0)), F.coalesce("upper", F.lit(0.0)), *style)
+    return both.withColumn("features", F.when(F.col("status") == "scored", six))
+
+
 @query()
 def cv_compare(spark, d):
-    """Five source-grouped folds: each method refitted, calibrated and thresholded without the fold it is judged on."""
-    p = L.cross_validated(labelled(spark, d))
-    decided = p.withColumn("calibrated", F.when(F.col("calibrated").isNotNull(), (F.col("calibrated") >= F.col("threshold")).cast("double")))
-    point = M.rates(M.confusion(decided, 0.5, ["method"])).select("method", "fpr", "recall", "precision", "f1", "coverage")
-    s = M.by_score(p, ["method"])
-    return point.join(M.ranking(s, ["method"]), "method").join(M.brier(p, ["method"]), "method").orderBy(F.desc("recall"), "method")
+    """Five source-grouped folds: each method refitted, calibrated and thresholded without the fold it is judged on; the recommended one is marked."""
+    predictions = L.cross_validated(_features(spark, d), ("raw", "prior", "combined", "tfidf"))
+    return L.recommended(L.compared(predictions)).orderBy(F.desc("recall"), "method")
 
 
 @query()
@@ -110,31 +117,41 @@ def run_tfidf(spark, d):
     return L.cross_validated(labelled(spark, d), ("tfidf",)).select("doc_id", "fold", "status", F.round("calibrated", 6).alias("calibrated"))
 
 
+_IDENTITY = "'{\"method\":\"' || m || '\",\"scorer\":\"stand-in-1\",\"segmenter\":\"paragraph-1\",\"filter\":\"stop-words-1\",\"prefix\":\"30\"'"
+
+
+@query(f"SELECT m AS method, c AS calibrated, sha256({_IDENTITY} || CASE WHEN c THEN ',\"weight\":\"1.700000000\",\"intercept\":\"-0.300000000\"' ELSE '' END || '}}') AS identity FROM (SELECT unnest(['sentence', 'sentence-context', 'prefix-mean', 'prefix-upper', 'combined']) AS m), (SELECT unnest([TRUE, FALSE]) AS c)")
+def scoring_identities(spark, d):
+    m = spark.range(1).select(F.explode(F.array(*map(F.lit, S.METHODS))).alias("method"), F.array(F.lit(True), F.lit(False)).alias("c")).select("method", F.explode("c").alias("calibrated"))
+    w, i = (F.when(F.col("calibrated"), F.lit(x)) for x in (1.7, -0.3))
+    return m.select("method", "calibrated", S.scoring_identity("method", w, i).alias("identity"))
+
+
 # --- scoring -----------------------------------------------------------------------------------------------
-_Q = rf""", w AS (SELECT doc_id, regexp_extract_all(text, {WORD_SQL}) AS w FROM examples WHERE doc_id % 20 = 0 OR doc_id % 20 > 0),
-q AS MATERIALIZED (SELECT doc_id, i AS pos, w[i + 1] AS word, array_to_string(w[greatest(i - 28, 1) : i], ' ') AS prefix FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM w) WHERE NOT list_contains({_STOP}, lower(w[i + 1])) AND regexp_matches(w[i + 1], '\p{{L}}')),
+_Q = rf""", q AS MATERIALIZED (SELECT doc_id, i AS pos, w[i + 1] AS word, array_to_string(w[greatest(i - 29, 1) : i], ' ') AS prefix FROM (SELECT doc_id, w, unnest(range(len(w))) AS i FROM (SELECT doc_id, regexp_extract_all(text, {WORD_SQL}) AS w FROM examples))
+  WHERE NOT list_contains({_STOP}, lower(w[i + 1])) AND regexp_matches(w[i + 1], '\p{{L}}')),
 ws AS MATERIALIZED (SELECT doc_id, pos, ('0x' || substr(sha256(concat_ws(':', doc_id, pos, word)), 1, 4))::INT / 65535.0::DOUBLE AS raw FROM q)"""
-_Q = _Q.replace(" WHERE doc_id % 20 = 0 OR doc_id % 20 > 0", "").replace("greatest(i - 28, 1)", "greatest(i - 29, 1)")
 
 
-@query(f"{_Q} SELECT doc_id, count(*) AS n, sum(length(prefix))::BIGINT AS prefix_chars, max(word) AS last_word FROM q GROUP BY doc_id", True)
+@query(f"{_Q} SELECT e.doc_id, count(q.pos) AS n, coalesce(sum(length(prefix)), 0)::BIGINT AS prefix_chars, max(word) AS last_word FROM examples e LEFT JOIN q USING (doc_id) GROUP BY e.doc_id", True)
 def word_questions(spark, d):
-    q = S.word_questions(table(spark, d, "documents"), "doc_id")
-    return q.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("prefix")).alias("prefix_chars"), F.max("word").alias("last_word"))
+    docs = table(spark, d, "documents")
+    q = S.word_questions(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("prefix")).alias("prefix_chars"), F.max("word").alias("last_word"))
+    return docs.select("doc_id").join(q, "doc_id", "left").na.fill(0, ["n", "prefix_chars"])
 
 
 def _scores(spark, d):
     return S.word_scores(S.word_questions(table(spark, d, "documents"), "doc_id"), "doc_id")
 
 
-@query(f"{_Q} SELECT doc_id, round(avg(raw), 9) AS mean, count(*) AS n FROM ws GROUP BY doc_id", True)
+@query(f"{_Q} SELECT e.doc_id, coalesce(round(avg(ws.raw), 9), 0) AS mean, count(ws.raw) AS n FROM examples e LEFT JOIN ws USING (doc_id) GROUP BY e.doc_id", True)
 def prefix_mean(spark, d):
-    return S.prefix_mean(_scores(spark, d), "doc_id").withColumn("mean", F.round("mean", 9))
+    return S.prefix_mean(_scores(spark, d), "doc_id", table(spark, d, "documents")).withColumn("mean", F.round("mean", 9))
 
 
-@query(f"{_Q} SELECT doc_id, round(avg(raw), 9) AS upper FROM (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM ws) WHERE k <= greatest(1, ceil(n / 4.0)) GROUP BY doc_id", True)
+@query(f"{_Q}, up AS (SELECT doc_id, round(avg(raw), 9) AS upper FROM (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM ws) WHERE k <= greatest(1, ceil(n / 4.0)) GROUP BY doc_id) SELECT e.doc_id, coalesce(upper, 0) AS upper FROM examples e LEFT JOIN up USING (doc_id)", True)
 def prefix_upper(spark, d):
-    return S.prefix_upper(_scores(spark, d), "doc_id").withColumn("upper", F.round("upper", 9))
+    return S.prefix_upper(_scores(spark, d), "doc_id", table(spark, d, "documents")).withColumn("upper", F.round("upper", 9))
 
 
 @query(f"{_Q}, m AS (SELECT doc_id, avg(raw) AS mean FROM ws GROUP BY doc_id) SELECT e.doc_id, status, CASE WHEN status = 'scored' THEN round(coalesce(mean, 0), 9) END AS raw FROM examples e LEFT JOIN m USING (doc_id)", True)

@@ -113,10 +113,15 @@ def select_threshold(rows: DataFrame, targets: list[float], by: list[str] = ())
     down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     cum = scored.withColumn("fp", F.sum("fp").over(down))
     goals = F.explode(F.array(*map(F.lit, targets))).alias("target")
-    base = negatives.select(*keys, "negatives", goals)
-    joined = base.join(cum, keys, "left") if keys else base.crossJoin(F.broadcast(cum))
+    both = F.assert_true((F.col("negatives") > 0) & (F.col("positives") > 0), "threshold selection needs both classes")
+    base = negatives.select(*keys, "negatives", goals, both.alias("checked")).filter("checked is null").drop("checked")
+    # one row for each group and target goes to the scores, which may be as many as there are rows
+    one = keys or ["__one"]
+    base, cum = (base, cum) if keys else (base.withColumn("__one", F.lit(1)), cum.withColumn("__one", F.lit(1)))
+    wide = cum.join(F.broadcast(base) if not keys else base, one)
     fits = F.when(F.try_divide(F.col("fp").cast("double"), F.col("negatives").cast("double")) <= F.col("target"), F.col("score"))
-    return joined.groupBy(*keys, "target").agg(F.coalesce(F.min(fits), F.lit(ABSTAIN_ALL)).alias("threshold"))
+    best = wide.groupBy(*one, "target").agg(F.min(fits).alias("least"))
+    return base.join(best, [*one, "target"], "left").select(*keys, "target", F.coalesce("least", F.lit(ABSTAIN_ALL)).alias("threshold"))
 
 
 # --- TF-IDF --------------------------------------------------------------------------------------------
@@ -136,74 +141,124 @@ def tfidf_vectors(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col:
     return tf.join(norms, id_col).select(id_col, "term", (F.col("v") / F.col("norm")).alias("value"))
 
 
-def fit_text_model(train: pd.DataFrame, features: int = 1500, steps: int = 500):
-    """A TF-IDF logistic classifier fitted on one group's rows (text, label): returns a scoring function."""
-    import regex
-
-    find = regex.compile(T.TOKEN).findall
-    split = [find(t.lower()) for t in train["text"]]
-    df: dict[str, int] = {}
-    for s in split:
-        for t in set(s):
-            df[t] = df.get(t, 0) + 1
-    vocabulary = sorted((t for t, n in df.items() if n >= 2), key=lambda t: (-df[t], t))[:features]
-    place, idf = {t: i for i, t in enumerate(vocabulary)}, np.array([np.log((1 + len(split)) / (1 + df[t])) + 1 for t in vocabulary])
-
-    def vectors(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, column and value of what is not 0; the rows have unit length."""
-        rows, columns, values = [], [], []
-        for r, s in enumerate(texts):
-            counts: dict[int, int] = {}
-            for t in s:
-                if t in place:
-                    counts[place[t]] = counts.get(place[t], 0) + 1
-            rows += [r] * len(counts)
-            columns += counts.keys()
-            values += counts.values()
-        row, column = np.array(rows, np.int64), np.array(columns, np.int64)
-        value = (1 + np.log(np.array(values, float))) * idf[column]
-        norm = np.sqrt(np.bincount(row, value * value, len(texts)))
-        return row, column, value / norm[row]
-
-    w, b = fit_logistic_sparse(*vectors(split), len(vocabulary), train["label"], steps=steps)
-
-    def score(texts) -> np.ndarray:
-        row, column, value = vectors([find(t.lower()) for t in texts])
-        return _sigmoid(b + np.bincount(row, value * w[column], len(texts)))
-
-    return score
-
-
-def cross_validated(rows: DataFrame, methods: tuple[str, ...] = ("raw", "prior", "tfidf"), folds: int = 5, max_fpr: float = 0.05) -> DataFrame:
-    """Held-out predictions of each method: (method, fold, source_id, label, status, calibrated, threshold).
-
-    Each fold's rows are replicated to the folds that train on them; a fold refits, calibrates and thresholds by itself.
-    Rows: source_id, label, status, raw, text.
+def sparse_features(docs: DataFrame, vocabulary: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
+    """(keys, columns, values) of unit-length TF-IDF vectors, for all rows of ``docs``. vocabulary: fold, place, term, idf; docs have the fold among their keys."""
+    terms = docs.select(*keys, F.explode(T.tokens(text_col)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+    found = terms.join(F.broadcast(vocabulary), ["fold", "term"]).select(*keys, "place", ((1 + F.log("tf")) * F.col("idf")).alias("v"))
+    g = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("x"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    vectors = g.select(*keys, F.transform("x", lambda e: e["place"]).alias("columns"), F.transform("x", lambda e: e["v"] / F.col("norm")).alias("values"))
+    return vectors
+
+
+def fold_vocabularies(rows: DataFrame, folds: int, features: int = 1500) -> DataFrame:
+    """(fold, place, term, idf): for each fold the vocabulary of the rows that are not its own. rows: own, text.
+
+    Documents of a term are counted once for each fold of its own; each training count is the total less one fold's.
+    """
+    each = rows.select("own", F.explode(F.array_distinct(T.tokens("text"))).alias("term")).groupBy("own", "term").agg(F.count("*").alias("n"))
+    sizes = rows.groupBy("own").agg(F.count("*").alias("n_docs"))
+    spread = each.groupBy("term").agg(F.sum("n").alias("total"), *[F.coalesce(F.sum(F.when(F.col("own") == k, F.col("n"))), F.lit(0)).alias(f"n{k}") for k in range(folds)])
+    df = spread.select("term", F.inline(F.array(*[F.struct(F.lit(k).alias("fold"), (F.col("total") - F.col(f"n{k}")).alias("df")) for k in range(folds)]))).filter("df >= 2")
+    place = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("df"), "term"))
+    top = df.withColumn("place", place).filter(F.col("place") <= features)
+    n = sizes.agg(F.sum("n_docs").alias("all"), F.map_from_entries(F.collect_list(F.struct("own", "n_docs"))).alias("own"))
+    n = n.select(F.explode(F.array(*map(F.lit, range(folds)))).alias("fold"), "all", "own").select("fold", (F.col("all") - F.coalesce(F.try_element_at("own", F.col("fold")), F.lit(0))).alias("n_train"))
+    return top.join(F.broadcast(n), "fold").select("fold", (F.col("place") - 1).alias("place"), "term", (F.log(F.lit(1.0) + F.col("n_train")) - F.log(1 + F.col("df")) + 1).alias("idf"))
+
+
+def _entries(p: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and value of the sparse vectors of some rows."""
+    sizes = [0 if c is None else len(c) for c in p["columns"]]
+    full = [k for k, n in enumerate(sizes) if n]
+    join = lambda name, kind: np.concatenate([np.asarray(p[name].iloc[k], kind) for k in full]) if full else np.empty(0, kind)
+    return np.repeat(np.arange(len(p)), sizes), join("columns", np.int64), join("values", float)
+
+
+def _judged(method: str, train: pd.DataFrame, test: pd.DataFrame, features: int, max_fpr: float) -> pd.DataFrame:
+    """One method fitted, calibrated and thresholded on the training rows; the test rows with their calibrated score."""
+    if method == "tfidf":
+        row, column, value = _entries(train)
+        w, b = fit_logistic_sparse(row, column, value, features, train["label"])
+
+        def raw(q):
+            r, c, v = _entries(q)
+            return _sigmoid(b + np.bincount(r, v * w[c], len(q)))
+    elif method == "combined":
+        usable = train["features"].notna()
+        w, b = fit_logistic(np.stack(train.loc[usable, "features"].to_numpy()), train.loc[usable, "label"])
+        raw = lambda q: np.array([np.nan if f is None else _sigmoid(b + np.dot(f, w)) for f in q["features"]])
+    elif method == "prior":
+        raw = lambda q: np.full(len(q), train["label"].mean())
+    else:
+        raw = lambda q: q["raw"].to_numpy(float)
+    ok = train[train["status"] == "scored"]
+    w1, b1 = fit_logistic(logit(raw(ok))[:, None], ok["label"], **CALIBRATION)
+    mapped = lambda q: _sigmoid(b1 + logit(raw(q)) * w1[0])
+    negatives = (train["label"] == 0).sum()
+    own = np.sort(mapped(ok[ok["label"] == 0]))
+    # false positives at a score: the negatives that are not under it
+    candidates = np.unique(np.append(mapped(ok), ABSTAIN_ALL))
+    threshold = candidates[np.argmax((len(own) - np.searchsorted(own, candidates)) / negatives <= max_fpr)]
+    c = np.full(len(test), np.nan)
+    held = (test["status"] == "scored").to_numpy()
+    c[held] = mapped(test[held])
+    return test[["doc_id", "source_id", "label", "status"]].assign(method=method, calibrated=c, threshold=threshold)
+
+
+def cross_validated(rows: DataFrame, methods: tuple[str, ...] = ("raw", "prior", "tfidf"), folds: int = 5, max_fpr: float = 0.05, features: int = 1500) -> DataFrame:
+    """Held-out predictions of each method: (method, fold, doc_id, source_id, label, status, calibrated, threshold).
+
+    A fold refits, calibrates and thresholds without its own rows.  Texts do not travel: vocabularies and vectors are
+    made by Spark, and a fold's task gets sparse vectors.  That task holds its fold's training rows, which the sampling
+    plan bounds; ``fit_distributed`` fits without that bound.  Rows: doc_id, source_id, label, status, raw, text for
+    tfidf, and features (array of numbers) for combined.
     """
-    keyed = rows.withColumn("own", H.hash_fold("source_id", folds)).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("method", F.explode(F.array(*map(F.lit, methods))))
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        method, fold = p["method"].iloc[0], p["fold"].iloc[0]
-        p = p.sort_values(["source_id", "doc_id"])
-        train, test = p[p["own"] != fold], p[p["own"] == fold]
-        if method == "tfidf":
-            score = fit_text_model(train)
-            raw = lambda q: score(q["text"])
-        elif method == "prior":
-            raw = lambda q: np.full(len(q), train["label"].mean())
-        else:
-            raw = lambda q: q["raw"].to_numpy(float)
-        ok = train[train["status"] == "scored"]
-        w, b = fit_logistic(logit(raw(ok))[:, None], ok["label"], **CALIBRATION)
-        own = _sigmoid(b + logit(raw(ok)) * w[0])
-        negatives = (train["label"] == 0).sum()
-        threshold = next(t for t in [*sorted(set(own.tolist())), ABSTAIN_ALL] if (own[(ok["label"] == 0).to_numpy()] >= t).sum() / negatives <= max_fpr)
-        held = test["status"] == "scored"
-        c = np.full(len(test), np.nan)
-        c[held.to_numpy()] = _sigmoid(b + logit(raw(test[held])) * w[0])
-        return pd.DataFrame({"method": method, "fold": fold, "doc_id": test["doc_id"], "source_id": test["source_id"], "label": test["label"], "status": test["status"], "calibrated": c, "threshold": threshold})
-
-    out = keyed.select("method", "fold", "own", "doc_id", "source_id", "label", "status", "raw", "text").groupBy("method", "fold").applyInPandas(
-        run, "method string, fold int, doc_id long, source_id string, label int, status string, calibrated double, threshold double"
-    )
-    return out.withColumn("calibrated", F.nanvl("calibrated", F.lit(None).cast("double")))
+    columns = ["doc_id", "source_id", "label", "status", "raw"]
+    keyed = rows.withColumn("own", H.hash_fold("source_id", folds))
+    every = F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold")
+    kind = {c: rows.schema[c].dataType.simpleString() for c in columns}
+    schema = ", ".join(f"{c} {kind[c]}" for c in columns[:4]) + ", method string, calibrated double, threshold double, fold int"
+
+    def judge(data: DataFrame, own: tuple[str, ...]) -> DataFrame:
+        def run(p: pd.DataFrame) -> pd.DataFrame:
+            p = p.sort_values(["source_id", "doc_id"])
+            fold = p["fold"].iloc[0]
+            mine = p["own"] == fold
+            return pd.concat([_judged(m, p[~mine], p[mine], features, max_fpr) for m in own]).assign(fold=fold)
+
+        return data.groupBy("fold").applyInPandas(run, schema)
+
+    plain = tuple(m for m in methods if m != "tfidf")
+    out = []
+    if plain:
+        more = ["features"] if "combined" in plain else []
+        out.append(judge(keyed.select(*columns, *more, "own", every), plain))
+    if "tfidf" in methods:
+        docs = keyed.select("doc_id", "text", "own", every)
+        vectors = sparse_features(docs.select("doc_id", "fold", "text"), fold_vocabularies(keyed.select("own", "text"), folds, features), ["doc_id", "fold"])
+        out.append(judge(keyed.select(*columns, "own", every).join(vectors, ["doc_id", "fold"], "left"), ("tfidf",)))
+    both = out[0] if len(out) == 1 else out[0].unionByName(out[1])
+    return both.withColumn("calibrated", F.nanvl("calibrated", F.lit(None).cast("double")))
+
+
+def compared(predictions: DataFrame) -> DataFrame:
+    """One row for each method: fpr, recall, precision, f1, coverage at the folds' own thresholds; auroc, brier and ece of the scores."""
+    from . import metrics as M
+
+    decided = predictions.withColumn("calibrated", F.when(F.col("calibrated").isNotNull(), (F.col("calibrated") >= F.col("threshold")).cast("double")))
+    point = M.rates(M.confusion(decided, 0.5, ["method"])).select("method", "fpr", "recall", "precision", "f1", "coverage")
+    s = M.by_score(predictions, ["method"])
+    for part in (M.ranking(s, ["method"]), M.brier(predictions, ["method"]), M.ece(M.reliability(s, ["method"]), ["method"])):
+        point = point.join(part, "method", "left")
+    return point
+
+
+def recommended(summaries: DataFrame, simple: tuple[str, ...] = ("raw",), max_fpr: float = 0.05, least_recall: float = 0.5, within: float = 0.02) -> DataFrame:
+    """``summaries`` with ``recommended``: of the methods within the bounds the one of most recall, ties by name; a simple one that is ``within`` of it goes first."""
+    fits = F.coalesce((F.col("fpr") <= max_fpr) & (F.col("recall") >= least_recall), F.lit(False))
+    best = summaries.filter(fits).agg(F.max("recall").alias("__best"))
+    close = F.col("method").isin(*simple) & (F.col("recall") >= F.col("__best") - within)
+    order = F.struct(F.when(close, 0).otherwise(1), -F.col("recall"), "method")
+    ranked = summaries.join(F.broadcast(best), F.lit(True), "left").withColumn("__fits", fits)
+    first = ranked.filter("__fits").agg(F.min_by("method", order).alias("__first"))
+    return ranked.join(F.broadcast(first), F.lit(True), "left").withColumn("recommended", F.coalesce(F.col("method") == F.col("__first"), F.lit(False))).select(*summaries.columns, "recommended")

@@ -1,4 +1,4 @@
-"""The TF-IDF model of the comparisons, held against a direct dense fit with the reference's 1,500 features and 500 steps."""
+"""The TF-IDF model of the comparisons, held against a direct dense fit with 1,500 features and 500 steps."""
 
 from __future__ import annotations
 
@@ -38,11 +38,6 @@ def rows():
     return pd.DataFrame(made, columns=["doc_id", "source_id", "label", "status", "raw", "text"])
 
 
-def test_sparse_fit_is_the_dense_one(rows):
-    texts = [*rows["text"][:20], "nothing known", ""]
-    assert L.fit_text_model(rows)(texts) == pytest.approx(direct(rows, texts), rel=1e-9)
-
-
 def test_comparison_fits_the_whole_model(spark, rows):
     got = L.cross_validated(spark.createDataFrame(rows), ("tfidf",)).toPandas().sort_values("doc_id")
     for fold, held in got.groupby("fold"):
@@ -51,3 +46,36 @@ def test_comparison_fits_the_whole_model(spark, rows):
         own = direct(train, train["text"])
         w, b = L.fit_logistic(L.logit(own)[:, None], train["label"], **L.CALIBRATION)
         assert held["calibrated"].to_numpy() == pytest.approx(L._sigmoid(b + L.logit(direct(train, test["text"])) * w[0]), rel=1e-7), fold
+
+
+def test_combined_threshold_and_recommendation(spark, rows):
+    rng = np.random.Generator(np.random.PCG64(4))
+    x = rng.normal(size=(len(rows), 3)) + rows["label"].to_numpy()[:, None] * 2
+    data = rows.assign(features=x.tolist(), status=np.where(rows.doc_id % 17 == 3, "insufficient", "scored"))
+    data.loc[data.doc_id % 17 == 3, "features"] = None
+    schema = "doc_id long, source_id string, label long, status string, raw double, text string, features array<double>"
+    df = spark.createDataFrame(data.astype(object).where(data.notna(), None).values.tolist(), schema)
+    got = L.cross_validated(df, ("raw", "prior", "combined"))
+    held = got.toPandas()
+    assert len(held) == 3 * len(rows) and held[held.status != "scored"].calibrated.isna().all()
+    for fold, own in held[held.method == "combined"].groupby("fold"):
+        train = data[~data.doc_id.isin(own.doc_id)].sort_values(["source_id", "doc_id"])
+        ok = train[train.status == "scored"]
+        w, b = L.fit_logistic(np.stack(ok.features), ok.label)
+        raw = L._sigmoid(b + np.stack(ok.features) @ w)
+        w1, b1 = L.fit_logistic(L.logit(raw)[:, None], ok.label, **L.CALIBRATION)
+        c = L._sigmoid(b1 + L.logit(raw) * w1[0])
+        negatives = (train.label == 0).sum()
+        want = next(t for t in [*sorted(set(c)), L.ABSTAIN_ALL] if (c[(ok.label == 0).to_numpy()] >= t).sum() / negatives <= 0.05)
+        assert own.threshold.iloc[0] == pytest.approx(want, rel=1e-9), fold
+    s = {r.method: r for r in L.recommended(L.compared(got), max_fpr=0.1).collect()}
+    assert s["combined"].recommended and not s["raw"].recommended and s["combined"].recall > 0.8 and 0 <= s["combined"].ece < 0.3
+    made = [("raw", 0.01, 0.79), ("combined", 0.02, 0.8), ("tfidf", 0.9, 0.99), ("prior", None, None)]
+    pick = lambda rows: [r.method for r in L.recommended(spark.createDataFrame(rows, "method string, fpr double, recall double")).collect() if r.recommended]
+    assert pick(made) == ["raw"] and pick([("raw", 0.01, 0.7), *made[1:]]) == ["combined"] and pick(made[2:]) == []
+
+
+def test_threshold_needs_both_classes(spark):
+    rows = spark.createDataFrame([("a", 0, "scored", 0.5), ("b", 0, "scored", 0.7)], "source_id string, label int, status string, calibrated double")
+    with pytest.raises(Exception, match="both classes"):
+        L.select_threshold(rows, [0.05]).collect()
