@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import metrics as M
+from ..operators.shared import cut
 from .base import labelled, query, table
 
 T0 = 0.6
-R = 200
+R = 1000
 _MARK = f"(status = 'scored' AND calibrated >= {T0})"
 
 
@@ -104,12 +106,6 @@ def bootstrap_intervals(spark, d):
     return _rounded(M.intervals(M.bootstrap(labelled(spark, d), T0, R), ["fpr", "recall", "f1"]), "low", "high")
 
 
-@query()
-def bootstrap_ece(spark, d):
-    """Interval of the calibration error over resampled sources; held against direct resampling in the tests."""
-    return M.intervals(M.bootstrap_ece(labelled(spark, d), R), ["ece"])
-
-
 @query("SELECT k::INT AS sources, round(1 - pow(0.025, 1.0 / k), 9) AS fpr_high, round(pow(0.025, 1.0 / k), 9) AS recall_low FROM range(2, 200) AS r(k)")
 def boundary_widening(spark, d):
     k = spark.range(2, 200).select(F.col("id").cast("int").alias("sources"))
@@ -132,24 +128,68 @@ def gates(spark, d):
     return _gates(spark, d)
 
 
-@query(f", {_SRC}, ga AS ({_GATES}) SELECT CASE WHEN bool_or(gate = 'fail') THEN 'fail' WHEN bool_and(gate = 'pass') THEN 'pass' ELSE 'inconclusive' END AS decision FROM ga", True)
-def decision(spark, d):
-    return M.decision(_gates(spark, d))
-
-
-_SLICES = """, cn AS (SELECT *, version <> 'v0' OR row_number() OVER (PARTITION BY version = 'v0', source_id, n_words ORDER BY doc_id) = 1 AS canonical FROM labelled),
-sl AS (SELECT *, unnest(list_filter([CASE WHEN canonical THEN 'overall' END, CASE WHEN canonical AND version = 'v0' THEN 'human_only' END, CASE WHEN generator = 'held-out' THEN 'held_out' END, CASE WHEN version = 'v4' THEN 'v4' END,
-'domain:' || domain, 'generator:' || generator, 'version:' || version], lambda x: x IS NOT NULL)) AS slice FROM cn)"""
+_SLICES = """, cn AS (SELECT *, version <> 'v0' OR row_number() OVER (PARTITION BY version = 'v0', source_id, n_words ORDER BY doc_id) = 1 AS canonical, CASE WHEN n_tokens < 8 THEN 'short' WHEN n_tokens < 30 THEN 'medium' ELSE 'long' END AS band FROM (SELECT *, CASE WHEN trim(text, E' \\t\\n\\r') = '' THEN 0 ELSE len(string_split_regex(trim(text, E' \\t\\n\\r'), '\\s+')) END AS n_tokens FROM labelled)),
+sl AS (SELECT * EXCLUDE (band), unnest(list_filter([CASE WHEN canonical THEN 'overall' END, CASE WHEN canonical AND version = 'v0' THEN 'human_only' END, CASE WHEN generator = 'held-out' THEN 'held_out' END, CASE WHEN version = 'v4' THEN 'v4' END,
+'domain:' || domain, 'generator:' || generator, 'version:' || version, 'lengthBand:' || band], lambda x: x IS NOT NULL)) AS slice FROM cn)"""
 
 
 def _sliced(spark, d):
     from pyspark.sql.window import Window
 
     first = F.row_number().over(Window.partitionBy(F.col("version") == "v0", "source_id", "n_words").orderBy("doc_id")) == 1
-    rows = labelled(spark, d).withColumn("canonical", (F.col("version") != "v0") | first)
+    rows = labelled(spark, d).withColumn("canonical", (F.col("version") != "v0") | first).withColumn("lengthBand", T.length_band("text"))
     return M.sliced(rows, F.col("canonical"))
 
 
+def _study_src(ece: bool) -> str:
+    """Intervals of the four slices from the same draws; the calibration error of each resample walks its bins one after another."""
+    return f"""{_SLICES}, st AS (SELECT * FROM sl WHERE slice IN ('overall', 'held_out', 'v4', 'human_only')), src AS ({_conf('slice, source_id', 'st')}),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY slice ORDER BY source_id) - 1 AS place FROM src), sn AS (SELECT slice, count(*) AS m FROM src GROUP BY slice),
+g AS (SELECT slice, i, i // m AS replicate, m, ((23092026 + (i + 1)::HUGEINT * 1831565813) % 4294967296)::UBIGINT AS s FROM (SELECT slice, m, unnest(range({R} * m)) AS i FROM sn)),
+g1 AS (SELECT *, ((xor(s, s >> 15)::HUGEINT * (s | 1)::HUGEINT) % 4294967296)::UBIGINT AS t FROM g),
+g2 AS (SELECT *, xor(t, ((t::HUGEINT + (xor(t, t >> 7)::HUGEINT * (t | 61)::HUGEINT) % 4294967296) % 4294967296)::UBIGINT) AS v FROM g1),
+dr AS MATERIALIZED (SELECT slice, replicate, floor(xor(v, v >> 14)::DOUBLE / 4294967296 * m)::BIGINT AS place FROM g2),
+rp AS (SELECT slice, replicate, sum(positive) AS p, sum(negative) AS n, sum(tp) AS tp, sum(fp) AS fp FROM dr JOIN o USING (slice, place) GROUP BY ALL),
+wn AS (SELECT replicate, place, count(*) AS times FROM dr WHERE slice = 'overall' GROUP BY ALL),
+sc AS (SELECT place, calibrated AS score, count(*) AS n, sum(label) AS p FROM st JOIN o USING (slice, source_id) WHERE slice = 'overall' AND st.status = 'scored' GROUP BY ALL),
+u AS (SELECT replicate, score, sum(n * times)::BIGINT AS n, sum(p * times)::BIGINT AS p FROM wn JOIN sc USING (place) GROUP BY ALL),
+c AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY replicate ORDER BY score)::BIGINT AS e, sum(n) OVER (PARTITION BY replicate)::BIGINT AS total FROM u),
+b AS (WITH RECURSIVE r(replicate, total, k, lo) AS (SELECT DISTINCT replicate, total, 0, 0::BIGINT FROM c UNION ALL
+  SELECT r.replicate, r.total, r.k + 1, min(c.e) FROM r JOIN c ON c.replicate = r.replicate AND c.e >= least(r.total, r.lo + ceil(r.total / 10.0)::BIGINT) WHERE r.k < 10 AND r.lo < r.total GROUP BY r.replicate, r.total, r.k) SELECT * FROM r),
+bins AS (SELECT replicate, bin, sum(n) AS n, sum(n * score) / sum(n) AS score, sum(p)::DOUBLE / sum(n) AS rate FROM (SELECT c.*, (SELECT count(*) FROM b WHERE b.replicate = c.replicate AND lo < e) AS bin FROM c) GROUP BY ALL),
+lo AS (SELECT slice, 'fpr' AS metric, fp::DOUBLE / nullif(n, 0) AS x FROM rp UNION ALL SELECT slice, 'recall', tp::DOUBLE / nullif(p, 0) FROM rp UNION ALL SELECT slice, 'f1', 2.0 * tp / nullif(p + tp + fp, 0) FROM rp
+  {"UNION ALL SELECT 'overall', 'ece', sum(n * abs(score - rate)) / sum(n) FROM bins GROUP BY replicate" if ece else ""}),
+tt AS (SELECT slice, sum(fp) AS fp, sum(negative) AS neg, sum(tp) AS tp, sum(positive) AS pos, count_if(negative > 0) AS ns, count_if(positive > 0) AS ps FROM src GROUP BY slice),
+ci0 AS (SELECT slice, metric, quantile_disc(x, 0.025) AS low, quantile_disc(x, 0.975) AS high, count(*) AS replicates FROM lo WHERE x IS NOT NULL GROUP BY ALL),
+ci AS MATERIALIZED (SELECT slice, metric, CASE WHEN metric = 'recall' AND tp = pos AND ps >= 2 THEN least(low, pow(0.025, 1.0 / ps)) ELSE low END AS low, CASE WHEN metric = 'fpr' AND fp = 0 AND ns >= 2 THEN greatest(high, 1 - pow(0.025, 1.0 / ns)) ELSE high END AS high, replicates FROM ci0 JOIN tt USING (slice))"""
+
+
+def _study_intervals(spark, d):
+    return M.study_intervals(cut(spark, _sliced(spark, d)), T0, R)
+
+
+@query(f"{_study_src(True)} SELECT round(low, 9) AS low, round(high, 9) AS high, metric, replicates FROM ci WHERE metric = 'ece'", True)
+def bootstrap_ece(spark, d):
+    """Interval of the calibration error over resampled sources of the canonical rows."""
+    own = cut(spark, _sliced(spark, d).filter("slice = 'overall'"))
+    return _rounded(M.intervals(M.bootstrap_ece(own, R), ["ece"]), "low", "high")
+
+
+@query(
+    f"{_study_src(True)}, w AS (SELECT * FROM (VALUES ('overall', 'fpr', 0.05, TRUE), ('overall', 'recall', 0.5, FALSE), ('held_out', 'fpr', 0.05, TRUE), ('held_out', 'recall', 0.5, FALSE), ('v4', 'fpr', 0.05, TRUE), ('v4', 'recall', 0.5, FALSE), ('human_only', 'fpr', 0.05, TRUE), ('overall', 'ece', 0.05, TRUE)) AS t(slice, metric, bound, at_most)) "
+    "SELECT w.slice, w.metric, bound::DOUBLE AS bound, round(low, 9) AS low, round(high, 9) AS high, CASE WHEN low IS NULL OR high IS NULL THEN 'inconclusive' WHEN at_most AND high <= bound OR NOT at_most AND low >= bound THEN 'pass' WHEN at_most AND low > bound OR NOT at_most AND high < bound THEN 'fail' ELSE 'inconclusive' END AS gate FROM w LEFT JOIN ci USING (slice, metric)",
+    True,
+)
+def study_gates(spark, d):
+    """The eight gates of a study: three slices, rows of humans, and the calibration error."""
+    return _rounded(M.study_gates(_study_intervals(spark, d)), "low", "high")
+
+
+@query(f", {_SRC}, ga AS ({_GATES}) SELECT CASE WHEN bool_or(gate = 'fail') THEN 'fail' WHEN bool_and(gate = 'pass') THEN 'pass' ELSE 'inconclusive' END AS decision FROM ga", True)
+def decision(spark, d):
+    return M.decision(_gates(spark, d))
+
+
 @query(f"{_SLICES}, k AS ({_conf('slice', 'sl')}), q AS (SELECT slice, count(DISTINCT source_id) FILTER (WHERE label = 0) AS negative_sources, count(DISTINCT source_id) FILTER (WHERE label = 1) AS positive_sources FROM sl GROUP BY slice) SELECT k.slice, n, positive, negative, tp, fp, scored, {_rates('k')}, negative_sources, positive_sources FROM k JOIN q USING (slice)", True)
 def slice_metrics(spark, d):
     rows = _sliced(spark, d)

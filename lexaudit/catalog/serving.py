@@ -46,9 +46,16 @@ def ledger_running(spark, d):
     )
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type = 'purchase' AS back, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev, value FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM (SELECT user_id, event_id, back, CASE WHEN back THEN prev ELSE event_id END AS rid, (floor(value) * 100)::BIGINT AS used FROM e) WHERE rid IS NOT NULL),
+r AS (SELECT user_id, NULL::BIGINT AS seq, 0::BIGINT AS k, NULL::BOOLEAN AS accepted, 0::BIGINT AS n, 0::BIGINT AS tok, []::BIGINT[] AS pending FROM o GROUP BY user_id UNION ALL
+SELECT user_id, seq, k, ok, CASE WHEN ok AND NOT back THEN n + 1 ELSE n END, CASE WHEN NOT ok THEN tok WHEN back THEN tok - 64000 + used ELSE tok + 64000 END, CASE WHEN NOT ok THEN pending WHEN back THEN list_filter(pending, lambda x: x <> rid) ELSE list_append(pending, rid) END
+FROM (SELECT o.user_id, o.event_id AS seq, o.k, o.back, o.rid, o.used, r.n, r.tok, r.pending, CASE WHEN o.back THEN list_contains(r.pending, o.rid) AND o.used BETWEEN 0 AND 64000 ELSE r.n + 1 <= 30 AND r.tok + 64000 <= 1000000 END AS ok FROM r JOIN o ON o.user_id = r.user_id AND o.k = r.k + 1))
+SELECT user_id::VARCHAR AS ledger, seq, accepted, n AS requests, tok AS tokens, round(tok * (0.042 / 1e6), 9) AS usd FROM r WHERE seq IS NOT NULL"""
+)
 def ledger_admission(spark, d):
-    """Admission under caps is decided in order; held against a loop in the tests."""
+    """Admission under caps, decided in order; tokens bind before their price does."""
     e = table(spark, d, "events")
     back = F.col("event_type") == "purchase"
     ops = e.select(
@@ -72,6 +79,33 @@ def concurrency_peak(spark, d):
     return S.concurrency_peak(e, "event_type", "start", "end")
 
 
+_SERVER = "e AS (SELECT event_type, user_id, event_id, epoch_us(ts) AS t, epoch_us(ts) + round(value * 60000000)::BIGINT AS stop, 1 + event_id % 8 AS n, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events)"
+
+
+@query(
+    f"""WITH RECURSIVE {_SERVER}, r AS (SELECT event_type, NULL::BIGINT AS event_id, 0::BIGINT AS k, NULL::BOOLEAN AS accepted, []::BIGINT[] AS live FROM events GROUP BY event_type UNION ALL
+SELECT event_type, event_id, k, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, t + 21600000000) ELSE live END FROM (SELECT e.event_type, e.event_id, e.k, e.t, list_filter(r.live, lambda x: x >= e.t) AS live FROM r JOIN e ON e.event_type = r.event_type AND e.k = r.k + 1))
+SELECT event_type, event_id, accepted, len(live)::INT AS live FROM r WHERE event_id IS NOT NULL"""
+)
+def session_capacity(spark, d):
+    """Each event opens a session on the server that its type names: three at most, of six hours each."""
+    return S.session_capacity(table(spark, d, "events"), "event_type", 3, 6 * 3600).select("event_type", "event_id", "accepted", "live")
+
+
+@query(
+    f"""WITH RECURSIVE {_SERVER}, r AS (SELECT event_type, NULL::BIGINT AS event_id, 0::BIGINT AS k, NULL::VARCHAR AS answer, []::BIGINT[] AS ends, []::STRUCT(u BIGINT, n BIGINT)[] AS taken FROM events GROUP BY event_type UNION ALL
+SELECT event_type, event_id, k, answer, CASE WHEN answer = 'accepted' THEN list_append(ends, stop) ELSE ends END, CASE WHEN answer = 'accepted' THEN list_append(taken, {{'u': user_id::BIGINT, 'n': n::BIGINT}}) ELSE taken END
+FROM (SELECT *, CASE WHEN len(ends) >= 2 THEN 'busy' WHEN n + coalesce(list_sum(list_transform(list_filter(taken, lambda x: x.u = user_id), lambda x: x.n)), 0) > 20 THEN 'limit' ELSE 'accepted' END AS answer
+FROM (SELECT e.event_type, e.event_id, e.k, e.user_id, e.n, e.stop, list_filter(r.ends, lambda x: x > e.t) AS ends, r.taken FROM r JOIN e ON e.event_type = r.event_type AND e.k = r.k + 1)))
+SELECT event_type, event_id, answer FROM r WHERE event_id IS NOT NULL"""
+)
+def score_admission(spark, d):
+    """Scoring requests on the server that the type names: two at a time, twenty new sentences for each session."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    e = table(spark, d, "events").select("event_type", t.alias("start"), "event_id", (t + F.round(F.col("value") * 60000000).cast("long")).alias("end"), F.col("user_id").alias("session"), (1 + F.col("event_id") % 8).alias("n"))
+    return S.score_admission(e, "event_type", 2, 20).select("event_type", "event_id", "answer")
+
+
 _BURST = """b AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS burst FROM (SELECT *, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) > 14400000000, TRUE)::INT AS n FROM events))"""
 
 

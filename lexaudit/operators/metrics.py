@@ -155,7 +155,7 @@ def widened(ci: DataFrame, fpr: Column, recall: Column, negative_sources: Column
     return ci.withColumn("high", F.greatest("high", top)).withColumn("low", F.least("low", bottom))
 
 
-def gate(low: Column, high: Column, bound: float, at_most: bool) -> Column:
+def gate(low: Column, high: Column, bound, at_most: bool) -> Column:
     missing = low.isNull() | high.isNull()
     good, bad = (high <= bound, low > bound) if at_most else (low >= bound, high < bound)
     return F.when(missing, "inconclusive").when(good, "pass").when(bad, "fail").otherwise("inconclusive")
@@ -166,9 +166,40 @@ def decision(gates: DataFrame) -> DataFrame:
     return gates.agg(F.when(any_fail, "fail").when(all_pass, "pass").otherwise("inconclusive").alias("decision"))
 
 
+#: The gates of a study (fixed values): slice, metric, bound, and whether the metric has to stay under it.
+GATES = [(s, m, b, m == "fpr") for s in ("overall", "held_out", "v4") for m, b in (("fpr", 0.05), ("recall", 0.5))] + [("human_only", "fpr", 0.05, True), ("overall", "ece", 0.05, True)]
+
+
+def study_intervals(rows: DataFrame, threshold: float, replicates: int = 1000) -> DataFrame:
+    """(slice, metric, low, high, replicates) of the slices that gates look at; a slice of under two sources has none. rows: as ``sliced`` gives them."""
+    out = rows.sparkSession.createDataFrame([], "slice string, metric string, low double, high double, replicates long")
+    for name in dict.fromkeys(s for s, *_ in GATES):
+        own = rows.filter(F.col("slice") == name)
+        sources = own.groupBy("source_id").agg(F.max(F.col("label") == 0).alias("neg"), F.max(F.col("label") == 1).alias("pos")).agg(F.count("*").alias("n"), F.count_if("neg").alias("neg"), F.count_if("pos").alias("pos")).first()
+        if sources.n < 2:
+            continue
+        ci = intervals(bootstrap(own, threshold, replicates), ["fpr", "recall", "f1"])
+        if name == "overall":
+            ci = ci.unionByName(intervals(bootstrap_ece(own, replicates), ["ece"]))
+        total = rates(confusion(own, threshold)).first()
+        out = out.unionByName(widened(ci, F.lit(total.fpr), F.lit(total.recall), F.lit(sources.neg), F.lit(sources.pos)).withColumn("slice", F.lit(name)))
+    return out
+
+
+def study_gates(ci: DataFrame) -> DataFrame:
+    """(slice, metric, bound, low, high, gate) of all gates; one without an interval is inconclusive."""
+    wanted = ci.sparkSession.createDataFrame(GATES, "slice string, metric string, bound double, at_most boolean")
+    j = wanted.join(ci, ["slice", "metric"], "left")
+    each = F.when(F.col("at_most"), gate(F.col("low"), F.col("high"), F.col("bound"), True)).otherwise(gate(F.col("low"), F.col("high"), F.col("bound"), False))
+    return j.select("slice", "metric", "bound", "low", "high", each.alias("gate"))
+
+
 def sliced(rows: DataFrame, canonical: Column) -> DataFrame:
-    """Rows once for each slice that they are in.  overall and human_only hold canonical rows, all other slices hold all rows."""
+    """Rows once for each slice that they are in.  overall and human_only hold canonical rows, all other slices hold all rows.
+
+    Rows with a column ``lengthBand`` are in the slices of their bands, too.
+    """
     held, v0 = F.col("generator") == "held-out", F.col("version") == "v0"
     keys = [F.when(canonical, "overall"), F.when(canonical & v0, "human_only"), F.when(held, "held_out"), F.when(F.col("version") == "v4", "v4")]
-    keys += [F.concat(F.lit(f"{c}:"), F.col(c)) for c in ("domain", "generator", "version")]
+    keys += [F.concat(F.lit(f"{c}:"), F.col(c)) for c in ("domain", "generator", "version", "lengthBand") if c in rows.columns]
     return rows.withColumn("slice", F.explode(F.array_compact(F.array(*keys))))

@@ -15,16 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..functions import text as T
 from ..operators import audit as A
 from ..operators import learning as L
 from ..operators import metrics as M
 from ..operators import sampling as S
+from ..operators.shared import cut
 from ..schemas import SEED, SPLITS
 from ..sources.files import write_json
 
+#: Rows of each split that a study samples (fixed values).
 SIZES = {"development": 100, "calibration": 200, "test": 400}
-GATES = [(g, m, b, d) for g in ("overall", "held_out", "v4") for m, b, d in (("fpr", 0.05, True), ("recall", 0.5, False))] + [("human_only", "fpr", 0.05, True), ("overall", "ece", 0.05, True)]
 
 
 def digest(value) -> str:
@@ -120,33 +120,8 @@ def evaluate(scored: DataFrame, threshold: float, replicates: int = 1000) -> tup
     canonical = A.canonical_seeds(scored.select("*"), F.col("version") == "v0", ["source_id", "start", "end"], "id").select("id", F.lit(True).alias("canonical"))
     rows = M.sliced(scored.join(canonical, "id", "left").withColumn("canonical", F.coalesce("canonical", F.lit(False))), F.col("canonical"))
     reports = M.report(rows, threshold, ["slice"])
-    rows = rows.cache()
-    parts = []
-    for name in ("overall", "held_out", "v4", "human_only"):
-        own = rows.filter(F.col("slice") == name)
-        if own.select("source_id").distinct().count() < 2:
-            continue
-        ci = M.intervals(M.bootstrap(own, threshold, replicates), ["fpr", "recall", "f1"])
-        if name == "overall":
-            ci = ci.unionByName(M.intervals(M.bootstrap_ece(own, replicates), ["ece"]))
-        total = M.rates(M.confusion(own, threshold)).first()
-        neg, pos = (own.filter(F.col("label") == k).select("source_id").distinct().count() for k in (0, 1))
-        parts.append(M.widened(ci, F.lit(total.fpr), F.lit(total.recall), F.lit(neg), F.lit(pos)).withColumn("slice", F.lit(name)))
-    spark = scored.sparkSession
-    wanted = spark.createDataFrame(GATES, "slice string, metric string, bound double, at_most boolean")
-    all_ci = parts[0] if parts else spark.createDataFrame([], "metric string, low double, high double, replicates long, slice string")
-    for p in parts[1:]:
-        all_ci = all_ci.unionByName(p)
-    g = F.when(F.col("at_most"), _gate(True)).otherwise(_gate(False))
-    gates = wanted.join(all_ci, ["slice", "metric"], "left").select("slice", "metric", "bound", "low", "high", g.alias("gate"))
-    verdict = M.decision(gates).first().decision
-    return reports, gates, verdict
-
-
-def _gate(at_most: bool):
-    low, high, bound = F.col("low"), F.col("high"), F.col("bound")
-    good, bad = (high <= bound, low > bound) if at_most else (low >= bound, high < bound)
-    return F.when(low.isNull() | high.isNull(), "inconclusive").when(good, "pass").when(bad, "fail").otherwise("inconclusive")
+    gates = M.study_gates(M.study_intervals(cut(rows.sparkSession, rows), threshold, replicates))
+    return reports, gates, M.decision(gates).first().decision
 
 
 def report(path: str, reports: DataFrame, decision: str) -> None:
@@ -158,7 +133,3 @@ def report(path: str, reports: DataFrame, decision: str) -> None:
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     with open(path, "w", encoding="utf-8") as f:
         f.write("\n".join(lines) + "\n")
-
-
-def length_bands(df: DataFrame) -> DataFrame:
-    return df.withColumn("lengthBand", T.length_band("text"))

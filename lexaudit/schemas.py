@@ -9,35 +9,10 @@ def _struct(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in fields.items()])
 
 
-S, I, L, D, B, TS = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType(), T.TimestampType()
+S = T.StringType()
 
-SENTENCE = _struct(id=S, start=I, end=I, text=S, preceding=S)
-WORD_SIGNAL = _struct(start=I, end=I, raw=D)
-SCORE_RESULT = _struct(
-    id=S, start=I, end=I, status=S, raw=D, calibrated=D, reason=S, words=T.ArrayType(WORD_SIGNAL), features=T.ArrayType(D), scoringVersion=S, model=S, cached=B
-)
-RESEARCH_EXAMPLE = _struct(
-    id=S, start=I, end=I, text=S, preceding=S, sourceId=S, recordId=S, officialSplit=S, split=S, domain=S, generator=S, version=S, label=I, provenance=S,
-    authorId=S, sourceHash=S, synthetic=B, gapBefore=S, trailing=S, operation=S, annotationText=S, whitespaceMapped=B, lengthBand=S, auditOnly=B,
-)
+# --- fixed values: field names of the data contract, splits and seed ---------------------------------
 CORPUS_RECORD = _struct(record_id=S, id=S, domain=S, generator=S, version=S, edit_operation=S, subset=S, split=S, text=S, sentences=S, sentence_labels=S)
-SOURCE = _struct(id=S, split=S, domain=S, hash=S, seed=T.ArrayType(_struct(start=I, text=S)))
-MANIFEST = _struct(
-    version=I, seed=L, ids=T.ArrayType(_struct(id=S, split=S)), counts=T.MapType(S, _struct(requested=L, available=L, selected=L)), dataDigest=S, exampleIdsDigest=S, createdAt=S
-)
-LOGISTIC_MODEL = _struct(weights=T.ArrayType(D), intercept=D, decay=D, steps=I)
-LEDGER = _struct(version=I, requests=L, tokens=L, usd=D, next=L, pending=T.MapType(S, L))
-LEDGER_EVENT = _struct(seq=L, op=S, reservation_id=S, tokens=L)
-BATCH_TIMING = _struct(apiMs=D, queueMs=D, endToEndMs=D, sentences=I, serverState=S, cache=S, failed=B, wasted=B)
-OBSERVATION = _struct(id=I, eligibleAt=D, ids=T.ArrayType(S), firstSentenceMs=D, completeMs=D, cache=S, wastedRequests=I, batches=T.ArrayType(BATCH_TIMING))
-TIMING_SESSION = _struct(schema=S, synthetic=B, scoringVersion=S, runtime=_struct(batch=I, concurrency=I), observations=T.ArrayType(OBSERVATION))
-JUDGMENT = _struct(sentenceId=S, gold=I, predicted=I, confidence=D)
-STUDY_TASK = _struct(passageId=S, condition=S, elapsedMs=D, comprehensionCorrect=B, judgments=T.ArrayType(JUDGMENT))
-STUDY_RESPONSE = _struct(participantId=S, unhighlightedNotVerified=B, highlightNotProof=B, tasks=T.ArrayType(STUDY_TASK))
-TRANSFER_DOCUMENT = _struct(id=S, authorId=S, genre=S, text=S, topicBrief=S, provenance=_struct(uri=S, humanEvidence=S, permission=S))
-FILE_PROVENANCE = _struct(url=S, revision=S, sha256=S, license=S)
-
-STATUSES = ("unscored", "pending", "scored", "insufficient", "failed", "features")
-METHODS = ("sentence", "sentence-context", "prefix-mean", "prefix-upper", "combined")
 SPLITS = {"train": "development", "dev": "calibration", "test": "test"}
 SEED = 23092026
+# -----------------------------------------------------------------------------------------------------

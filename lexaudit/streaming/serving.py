@@ -7,6 +7,8 @@ gathered.
 
 from __future__ import annotations
 
+import heapq
+from collections import deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -86,6 +88,45 @@ def ledger(events: DataFrame, usd: float, requests: int, tokens: int) -> DataFra
     return fold(events.select("ledger", "seq", "op", "reservation", "used"), "ledger", ["seq"], schema, lambda: (0, 0, set()), step)
 
 
+def session_capacity(events: DataFrame, server: str, capacity: int, seconds: int) -> DataFrame:
+    """(server, t, event_id, accepted, live): a session is opened if fewer than ``capacity`` are live on the server; those that have expired are forgotten first."""
+
+    def step(live, row):
+        while live and live[0] < row[1]:  # all last equally long, so the first opened is the first to go
+            live.popleft()
+        ok = len(live) < capacity
+        if ok:
+            live.append(row[1] + seconds * 1_000_000)
+        return live, (ok, len(live))
+
+    e = events.select(server, F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), "event_id")
+    return fold(e, server, ["t", "event_id"], f"{server} string, t long, event_id long, accepted boolean, live int", deque, step)
+
+
+def score_admission(requests: DataFrame, server: str, active: int, new: int) -> DataFrame:
+    """(server, start, event_id, end, session, n, answer): busy while ``active`` requests run on the server, limit when a session would pass ``new`` sentences, else accepted.
+
+    requests: server, start and end in microseconds, event_id, session, n (sentences that are not in the session's cache).
+    The state is the running requests and one counter for each session of a server.
+    """
+
+    def step(state, row):
+        ends, taken = state
+        _, start, _, end, session, n = row
+        while ends and ends[0] <= start:
+            heapq.heappop(ends)
+        if len(ends) >= active:
+            return state, ("busy",)
+        if taken.get(session, 0) + n > new:
+            return state, ("limit",)
+        heapq.heappush(ends, end)
+        taken[session] = taken.get(session, 0) + n
+        return state, ("accepted",)
+
+    schema = f"{server} string, start long, event_id long, end long, session long, n long, answer string"
+    return fold(requests.select(server, "start", "event_id", "end", "session", "n"), server, ["start", "event_id"], schema, lambda: ([], {}), step)
+
+
 def first_seen(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Rows with ``hit``: whether the key was seen before."""
     return events.withColumn("hit", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) > 1)
