@@ -128,6 +128,17 @@ def map_file(folder: str, name: str, dtype) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
+def put_array(folder: str, name: str, a: np.ndarray) -> None:
+    """Write whole numbers in the narrowest type that holds them; the type stands in the first eight bytes."""
+    a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+    put_file(folder, name, a.dtype.str.encode().ljust(8) + a.tobytes())
+
+
+def map_array(folder: str, name: str) -> np.ndarray:
+    raw = map_file(folder, name, np.uint8)
+    return raw[8:].view(bytes(raw[:8]).decode().strip())
+
+
 # --- columns -----------------------------------------------------------------------------------
 def text_bytes(col: str = "text") -> Column:
     """The whole text as UTF-8 bytes; null counts as empty."""

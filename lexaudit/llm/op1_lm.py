@@ -1,15 +1,22 @@
-"""LM scoring: an interpolated modified Kneser-Ney bigram model, counted in Spark, kept as sorted hash arrays.
-
-Counting takes two passes over the training texts.  Each task sorts and sums its
-own words (or pairs) with numpy and sends one packed block to each hash range;
-the ranges are merged in parallel and written to the shared folder as sorted
-arrays of 64-bit hashes beside their counts.  The scoring pass memory-maps those
-arrays, so that all workers of a machine share one copy in the page cache.
-
-* Word: 64-bit hash of its lowered bytes; its rank in the sorted array is its id.
-* Pair: ``id(left) * (V + 1) + id(right)`` under a mixing of that many bits that
-  can be undone, so different pairs never share a hash.
-* Order is 2: a third order would need over the allowed disk (see README).
+"""LM scoring: an interpolated modified Kneser-Ney n-gram model, counted in Spark, kept as sorted arrays.
+
+Each order is counted in one pass over the training texts.  A task sorts and
+sums its own n-grams with numpy and sends one packed block to each range that it
+has n-grams of; the ranges are merged in parallel and written to the shared
+folder.  The scoring pass memory-maps those arrays, so that all workers of a
+machine share one copy in the page cache.
+
+* Word: 64-bit hash of its lowered bytes; its rank in the sorted hashes is its id.
+* n-gram: the id of the first n - 1 words, its context, and the id of the last
+  word.  N-grams are sorted by context, then word; the rank is the id.  A range
+  holds a run of contexts, so it has all that follows each of them (at most as
+  many as there are words), and what a context needs is summed where it lies.
+* An n-gram of a lower order counts the different words before it, by one more
+  shuffle of the longer n-grams' ends; at the start of a text nothing stands
+  before it, and its occurrences count.
+
+Ids take as many bits as they need: no order, vocabulary or number of n-grams is
+too large for the arrays.
 
 Defined results: a null text is empty and has the end token alone; a null id
 counts as the empty text in the split; equal rows count as often as they occur;
@@ -29,8 +36,21 @@ from . import common as C
 
 #: Hash of the token that ends each text; no word hashes to it but by the chance that any two words meet.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Tokens that a task holds before it sorts and sends them.
-FLUSH_TOKENS = 2_000_000
+#: Tokens that a task holds before it sorts and sends or scores them.
+FLUSH_TOKENS = 1_000_000
+ORDER = 3
+
+
+@dataclass
+class Level:
+    """The n-grams of one order."""
+
+    contexts: int  # ids of contexts are under this
+    width: int  # contexts in a range
+    ranges: int
+    size: int = 0  # n-grams
+    begin: int = 0  # from this id on they begin with the start of a text
+    discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
 
 
 @dataclass
@@ -38,20 +58,15 @@ class Model:
     """What workers need to open the arrays; the arrays themselves stay in ``folder``."""
 
     folder: str
-    buckets: int
-    sizes: list[int] = field(default_factory=list)  # words in each hash range
+    buckets: int  # hash ranges of words
+    order: int = ORDER
+    vocab: int = 0
     n_tokens: int = 0
-    width: int = 1  # ids in each range of the per-word arrays
-    bits: int = 2
-    kinds: dict[str, str] = field(default_factory=dict)  # file name -> dtype
-    pair_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
+    levels: dict[int, Level] = field(default_factory=dict)
     word_discounts: tuple[float, float, float] = (0.5, 1.0, 1.5)
-    n_pairs: int = 0
-    lower_gamma: float = 1.0
-
-    @property
-    def vocab(self) -> int:
-        return sum(self.sizes)
+    word_total: int = 1
+    word_gamma: float = 1.0
+    stage: int = 0  # of training; a file that one stage misses may be there in the next
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -63,6 +78,11 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return d if all(0 <= x <= k for k, x in enumerate(d, 1)) else (0.5, 1.0, 1.5)
 
 
+def _counts_of(counts: np.ndarray) -> list[int]:
+    """How many are 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(counts, 5).astype(np.int64), minlength=6)[1:5].tolist()
+
+
 # --- tokens ------------------------------------------------------------------------------------
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of words and end tokens in text order, and the index where each text begins."""
@@ -76,258 +96,341 @@ def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out, np.append(0, ends + 1)
 
 
-def _mix(x: np.ndarray, bits: int) -> np.ndarray:
-    mask, s = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
-    for odd in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
-        x = (x * np.uint64(odd)) & mask
-        x = x ^ (x >> s)
-    return x
+def _gathered(batches, column: str):
+    """Token arrays of FLUSH_TOKENS or more, and the index of each text's first token with that of the end; a text is never parted."""
+    held, firsts, n = [], [], 0
+    for batch in batches:
+        for _, _, data, offsets in C.chunks(batch.column(column)):
+            tokens, begins = _tokens(data, offsets)
+            held.append(tokens)
+            firsts.append(begins[:-1] + n)
+            n += len(tokens)
+            if n >= FLUSH_TOKENS:
+                yield np.concatenate(held), np.append(np.concatenate(firsts), n)
+                held, firsts, n = [], [], 0
+    if held:
+        yield np.concatenate(held), np.append(np.concatenate(firsts), n)
 
 
-def _unmix(x: np.ndarray, bits: int) -> np.ndarray:
-    mask, s = np.uint64((1 << bits) - 1), np.uint64((bits + 1) // 2)
-    for odd in (0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15):
-        x = x ^ (x >> s)
-        x = (x * np.uint64(pow(odd, -1, 1 << 64))) & mask
-    return x
+def _blocks(where: np.ndarray, keys: np.ndarray, counts: np.ndarray, what: int = 0):
+    """One row for each range that has keys; ``where`` and, in a range, ``keys`` ascend."""
+    edges = np.append(np.flatnonzero(np.append(True, where[1:] != where[:-1])), len(where)) if len(where) else np.zeros(1, np.int64)
+    cuts = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+    return {
+        "bucket": pa.array([int(where[a]) for a, _ in cuts], pa.int64()),
+        "what": pa.array([what] * len(cuts), pa.int8()),
+        "keys": pa.array([C.pack_sorted(keys[a:b]) for a, b in cuts], pa.binary()),
+        "counts": pa.array([C.pack_counts(counts[a:b]) for a, b in cuts], pa.binary()),
+    }
 
 
-def _blocks(keys: np.ndarray, counts: np.ndarray, shift: int, buckets: int):
-    """One row for each hash range that has keys; ``keys`` ascend."""
-    edges = np.searchsorted(keys, np.arange(1, buckets, dtype=np.uint64) << np.uint64(shift)) if buckets > 1 else np.empty(0, np.int64)
-    edges = [0, *edges.tolist(), len(keys)]
-    full = [i for i in range(buckets) if edges[i] < edges[i + 1]]
-    yield pa.RecordBatch.from_pydict(
-        {
-            "bucket": pa.array(full, pa.int32()),
-            "keys": pa.array([C.pack_sorted(keys[edges[i] : edges[i + 1]]) for i in full], pa.binary()),
-            "counts": pa.array([C.pack_counts(counts[edges[i] : edges[i + 1]]) for i in full], pa.binary()),
-        }
-    )
+_BLOCK = "bucket long, what tinyint, keys binary, counts binary"
 
 
-def _save(folder: str, name: str, a: np.ndarray) -> str:
-    a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-    C.put_file(folder, name, a.tobytes())
-    return a.dtype.str
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and summed counts of the blocks of one range; blocks are added up pair by pair of about equal size."""
+    parts = sorted(((C.unpack_sorted(k.as_py()), C.unpack_counts(c.as_py())) for k, c in zip(table["keys"], table["counts"], strict=True)), key=lambda x: len(x[0]))
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    return C.summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
 
 # --- the mapped model ----------------------------------------------------------------------------
 class _Open:
-    """The arrays of a model, mapped into this worker."""
+    """The arrays of a model, mapped into this worker; each file is opened once."""
 
     def __init__(self, m: Model):
-        self.m, b = m, m.buckets
-        self.words = [C.map_file(m.folder, f"word-{i}.key", "<u8") if m.sizes[i] else np.empty(0, np.uint64) for i in range(b)]
-        self.starts = np.concatenate([[0], np.cumsum(m.sizes)]).astype(np.int64)
-        self.edges = np.arange(1, b, dtype=np.uint64) << np.uint64(64 - (b - 1).bit_length()) if b > 1 else np.empty(0, np.uint64)
+        self.m, self.arrays = m, {}
+        self.edges = np.arange(1, m.buckets, dtype=np.uint64) << np.uint64(64 - (m.buckets - 1).bit_length()) if m.buckets > 1 else np.empty(0, np.uint64)
 
     def array(self, name: str) -> np.ndarray:
-        kind = self.m.kinds.get(name)
-        return C.map_file(self.m.folder, name, kind) if kind else np.empty(0, np.uint8)
-
-    def ids(self, unique: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of ascending word hashes, and which of them are known (an unknown one has no meaning)."""
-        out, known = np.zeros(len(unique), np.int64), np.zeros(len(unique), bool)
+        if name not in self.arrays:
+            try:
+                self.arrays[name] = C.map_array(self.m.folder, name)
+            except FileNotFoundError:  # a range that nothing fell into
+                self.arrays[name] = np.empty(0, np.uint8)
+        return self.arrays[name]
+
+    def ids(self, unique: np.ndarray) -> np.ndarray:
+        """Ids of ascending word hashes; -1 for unknown ones."""
+        out, starts = np.full(len(unique), -1, np.int64), self.array("word-starts")
         cuts = [0, *np.searchsorted(unique, self.edges).tolist(), len(unique)]
-        for i, arr in enumerate(self.words):
-            part = slice(cuts[i], cuts[i + 1])
-            if len(arr) and part.start < part.stop:
-                at = np.minimum(np.searchsorted(arr, unique[part]), len(arr) - 1)
-                known[part] = arr[at] == unique[part]
-                out[part] = at + self.starts[i]
-        return out, known
-
-    def by_rank(self, prefix: str, ids: np.ndarray) -> np.ndarray:
-        """Values of a per-word array that is dealt by hash range, for ascending ids."""
-        out = np.zeros(len(ids), np.int64)
-        cuts = np.searchsorted(ids, self.starts)
         for i in range(self.m.buckets):
-            if cuts[i] < cuts[i + 1]:
-                out[cuts[i] : cuts[i + 1]] = self.array(f"{prefix}-{i}")[ids[cuts[i] : cuts[i + 1]] - self.starts[i]]
+            a, b = cuts[i], cuts[i + 1]
+            if a < b and len(arr := self.array(f"word-{i}.key")):
+                at = np.minimum(np.searchsorted(arr, unique[a:b]), len(arr) - 1)
+                out[a:b] = np.where(arr[at] == unique[a:b], at + int(starts[i]), -1)
         return out
 
-    def by_width(self, prefix: str, ids: np.ndarray) -> np.ndarray:
-        """Values of a per-id array that is dealt by ranges of ``width`` ids, for ascending ids."""
-        out = np.zeros(len(ids), np.int64)
-        cuts = np.searchsorted(ids, np.arange(self.m.buckets + 1) * self.m.width)
-        for i in range(self.m.buckets):
-            if cuts[i] < cuts[i + 1] and len(arr := self.array(f"{prefix}-{i}")):
-                out[cuts[i] : cuts[i + 1]] = arr[ids[cuts[i] : cuts[i + 1]] - i * self.m.width]
+    def of_words(self, name: str, ids: np.ndarray) -> np.ndarray:
+        """Values of a per-word array."""
+        out, starts = np.zeros(len(ids), np.int64), self.array("word-starts").astype(np.int64)
+        where = np.searchsorted(starts, ids, "right") - 1
+        for i in np.unique(where).tolist():
+            mine = where == i
+            out[mine] = self.array(f"{name}-{i}")[ids[mine] - starts[i]]
         return out
 
-    def pair_counts(self, keys: np.ndarray) -> np.ndarray:
-        """Counts of ascending pair hashes, 0 for unseen ones."""
-        m, out = self.m, np.zeros(len(keys), np.int64)
-        shift = np.uint64(m.bits - (m.buckets - 1).bit_length())
-        cuts = [0, *np.searchsorted(keys, np.arange(1, m.buckets, dtype=np.uint64) << shift).tolist(), len(keys)]
-        for i in range(m.buckets):
-            part = slice(cuts[i], cuts[i + 1])
-            if part.start < part.stop and len(arr := self.array(f"pair-{i}.key")):
-                at = np.minimum(np.searchsorted(arr, keys[part]), len(arr) - 1)
-                out[part] = np.where(arr[at] == keys[part], self.array(f"pair-{i}.count")[at], 0)
-        return out
+    def each_range(self, k: int, contexts: np.ndarray):
+        """(range, which of the contexts fall into it, their places in it)."""
+        width = self.m.levels[k].width
+        where = contexts // width
+        for j in np.unique(where).tolist():
+            mine = np.flatnonzero(where == j) if self.m.levels[k].ranges > 1 else np.arange(len(contexts))
+            yield j, mine, contexts[mine] - j * width
+
+    def find(self, k: int, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts of n-grams; -1 and 0 for those that are not there. Contexts and words are ids."""
+        ids, counts, starts = np.full(len(words), -1, np.int64), np.zeros(len(words), np.int64), self.array(f"{k}-starts")
+        for j, mine, local in self.each_range(k, contexts):
+            begins, last = self.array(f"{k}-from-{j}"), self.array(f"{k}-word-{j}")
+            if not len(last):
+                continue
+            low, high, wanted = begins[local].astype(np.int64), begins[local + 1].astype(np.int64), words[mine]
+            end, live = high.copy(), np.flatnonzero(low < high)
+            while len(live):
+                mid = (low[live] + high[live]) >> 1
+                under = last[mid].astype(np.int64) < wanted[live]
+                low[live[under]] = mid[under] + 1
+                high[live[~under]] = mid[~under]
+                live = live[low[live] < high[live]]
+            hit = np.flatnonzero(low < end)
+            hit = hit[last[low[hit]].astype(np.int64) == wanted[hit]]
+            ids[mine[hit]] = low[hit] + int(starts[j])
+            if len(own := self.array(f"{k}-count-{j}")):
+                counts[mine[hit]] = own[low[hit]]
+        return ids, counts
+
+    def following(self, k: int, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each context the total of what follows it, and the weight that its discounts leave to the shorter context."""
+        total, gamma, d = np.zeros(len(contexts), np.int64), np.ones(len(contexts)), self.m.levels[k].discounts
+        for j, mine, local in self.each_range(k, contexts):
+            if not len(all_of := self.array(f"{k}-total-{j}")):
+                continue
+            begins, one, two = self.array(f"{k}-from-{j}"), self.array(f"{k}-one-{j}")[local].astype(np.int64), self.array(f"{k}-two-{j}")[local].astype(np.int64)
+            more = begins[local + 1].astype(np.int64) - begins[local].astype(np.int64) - one - two
+            own = all_of[local].astype(np.int64)
+            total[mine] = own
+            gamma[mine] = np.where(own > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(own, 1), 1.0)
+        return total, gamma
 
 
 _opened: dict[tuple[str, int], _Open] = {}
 
 
 def _open(m: Model) -> _Open:
-    key = (m.folder, m.n_pairs)  # a model being trained has no pairs yet
+    key = (m.folder, m.stage)
     if key not in _opened:
         _opened.clear()
         _opened[key] = _Open(m)
     return _opened[key]
 
 
-def _gathered(batches, column: str):
-    """Token arrays of FLUSH_TOKENS or more, with the index of each text's first token and its row count."""
-    held, firsts, rows, n = [], [], 0, 0
-    for batch in batches:
-        for a, b, data, offsets in C.chunks(batch.column(column)):
-            tokens, begins = _tokens(data, offsets)
-            held.append(tokens)
-            firsts.append(begins[:-1] + n)
-            n, rows = n + len(tokens), rows + b - a
-            if n >= FLUSH_TOKENS:
-                yield np.concatenate(held), np.concatenate(firsts)
-                held, firsts, rows, n = [], [], 0, 0
-    if rows:
-        yield np.concatenate(held), np.concatenate(firsts)
+def _grams(m: Model, opened: _Open, tokens: np.ndarray, firsts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token its word id, the id of its context of k - 1 words (-1 for none), and its place in its text. Orders under k must be there."""
+    unique, at = np.unique(tokens, return_inverse=True)
+    ids = opened.ids(unique)[at]
+    place = np.arange(len(tokens)) - np.repeat(firsts[:-1], np.diff(firsts))
+    context = _before(ids, firsts, m.vocab)
+    for level in range(2, k):
+        context = _before(_found(opened, level, context, ids)[0], firsts, -1)
+    return ids, context, place
 
 
-def _pair_keys(model: Model, opened: _Open, tokens: np.ndarray, firsts: np.ndarray):
-    """Unique words with ids, each token's index in them, and each token's pair hash (meaningless next to unknown words)."""
-    unique, at = np.unique(tokens, return_inverse=True)
-    ids, known = opened.ids(unique)
-    token_ids = ids[at]
-    left = np.empty_like(token_ids)
-    left[1:] = token_ids[:-1]
-    left[firsts] = model.vocab
-    left_at = np.empty_like(at)
-    left_at[1:] = at[:-1]
-    left_at[firsts] = -1
-    keys = _mix(left.astype(np.uint64) * np.uint64(model.vocab + 1) + token_ids.astype(np.uint64), model.bits)
-    return ids, known, at, left_at, keys
+def _before(values: np.ndarray, firsts: np.ndarray, start: int) -> np.ndarray:
+    """The value of the token before; ``start`` for the first token of a text."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[firsts[:-1]] = start
+    return out
+
+
+def _found(opened: _Open, k: int, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and counts of the k-grams of all tokens; each different one is looked for once."""
+    got, count = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
+    some = np.flatnonzero((context >= 0) & (ids >= 0))
+    if len(some):
+        g, c = opened.find(k, context[some], ids[some])
+        got[some], count[some] = g, c
+    return got, count
 
 
 # --- training ------------------------------------------------------------------------------------
-def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None) -> Model:
+def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None, order: int = ORDER) -> Model:
     """Count ``docs`` and write the model to the shared folder.
 
-    buckets: hash ranges, a power of two; by default it follows the partitions of the input, so that a
-    range holds about as much of the counts as half a partition of the input.
+    buckets: ranges of each order, a power of two; by default it follows the partitions of the input, so that a
+    range holds about as many n-grams as a partition of the input.
     """
     spark = docs.sparkSession
     texts = docs.select(C.text_bytes(text_col).alias("t"))
-    b = C.power_of_two(buckets or max(8, 2 * C.scan_parts(texts)))
-    m = Model(C.new_folder(spark, "lm"), b)
-    folder, log_b = m.folder, (b - 1).bit_length()
+    b = C.power_of_two(buckets or max(8, C.scan_parts(texts)))
+    m = Model(C.new_folder(spark, "lm"), b, order)
+    folder, shift = m.folder, np.uint64(64 - (b - 1).bit_length()) if b > 1 else None
 
     def words(batches):
         for tokens, _ in _gathered(batches, "t"):
-            yield from _blocks(*np.unique(tokens, return_counts=True), 64 - log_b, b)
+            keys, counts = np.unique(tokens, return_counts=True)
+            yield pa.RecordBatch.from_pydict(_blocks((keys >> shift).astype(np.int64) if b > 1 else np.zeros(len(keys), np.int64), keys, counts))
 
     def merge_words(key, table):
-        keys, counts = C.summed(
-            np.concatenate([C.unpack_sorted(x.as_py()) for x in table["keys"]]), np.concatenate([C.unpack_counts(x.as_py()) for x in table["counts"]])
-        )
-        i = key[0].as_py()
-        C.put_file(folder, f"word-{i}.key", keys.astype("<u8").tobytes())
-        kind = _save(folder, f"word-{i}", counts)
-        return pa.table({"bucket": pa.array([i], pa.int32()), "n": [len(keys)], "total": [int(counts.sum())], "kind": [kind]})
-
-    rows = texts.mapInArrow(words, "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(merge_words, "bucket int, n long, total long, kind string").collect()
-    m.sizes = [0] * b
+        (keys, counts), i = _merged(table), key[0].as_py()
+        C.put_array(folder, f"word-{i}.key", keys)
+        C.put_array(folder, f"word-{i}", counts)
+        return pa.table({"bucket": pa.array([i], pa.int64()), "n": [len(keys)], "total": [int(counts.sum())]})
+
+    rows = _collected(texts.mapInArrow(words, _BLOCK).groupBy("bucket").applyInArrow(merge_words, "bucket long, n long, total long"))
+    sizes = np.zeros(b, np.int64)
     for r in rows:
-        m.sizes[r.bucket], m.kinds[f"word-{r.bucket}"] = r.n, r.kind
+        sizes[r.bucket] = r.n
         m.n_tokens += r.total
     if not m.n_tokens:
         return m
-    v = m.vocab
-    if v >= 1 << 31:
-        raise ValueError("over 2**31 distinct words: pair hashes need a wider type")
-    m.bits, m.width = max(log_b + 1, ((v + 1) ** 2 - 1).bit_length()), -(-(v + 1) // b)
-    bits, width = m.bits, m.width
+    m.vocab = int(sizes.sum())
+    C.put_array(folder, "word-starts", np.cumsum(np.append(0, sizes))[:-1])
+    for k in range(2, order + 1):
+        _count_level(m, texts, k)
+        m.stage += 1
+    for k in range(order, 1, -1):
+        _add_up(m, spark, k)
+        m.stage += 1
+    return m
+
 
-    def pairs(batches):
+def _collected(df: DataFrame) -> list:
+    """The few rows that merges report; shuffle files go when they are there."""
+    conf = df.sparkSession.conf
+    before = conf.get(C._CLEAN)
+    conf.set(C._CLEAN, "true")
+    try:
+        return df.collect()
+    finally:
+        conf.set(C._CLEAN, before)
+
+
+def _count_level(m: Model, texts: DataFrame, k: int) -> None:
+    """Count the k-grams and write their arrays: from (where each context begins), word, raw."""
+    contexts = m.vocab + 1 if k == 2 else m.levels[k - 1].size
+    step = m.vocab + 1
+    # so many ranges that a place in a range fits into 62 bits
+    ranges = min(contexts, max(m.buckets, -(-contexts * step >> 62)))
+    width = -(-contexts // ranges)
+    ranges, folder = -(-contexts // width), m.folder
+    one_key = contexts * step < 1 << 62
+
+    def grams(batches):
         opened = _open(m)
         for tokens, firsts in _gathered(batches, "t"):
-            yield from _blocks(*np.unique(_pair_keys(m, opened, tokens, firsts)[-1], return_counts=True), bits - log_b, b)
-
-    def merge_pairs(key, table):
-        keys, counts = C.summed(
-            np.concatenate([C.unpack_sorted(x.as_py()) for x in table["keys"]]), np.concatenate([C.unpack_counts(x.as_py()) for x in table["counts"]])
-        )
-        i = key[0].as_py()
-        C.put_file(folder, f"pair-{i}.key", keys.astype("<u8").tobytes())
-        kind = _save(folder, f"pair-{i}.count", counts)
-        back = _unmix(keys, bits)
-        left, right = back // np.uint64(v + 1), back % np.uint64(v + 1)
-        out = {k: [] for k in ("bucket", "kind", "ids", "a", "n1", "n2", "n3", "file")}
-        of_counts = [int(np.count_nonzero(counts == k)) for k in (1, 2, 3, 4)]
-        out["bucket"].append(i)
-        out["kind"].append("stat")
-        for k, x in zip(("ids", "a", "n1", "n2", "n3"), (np.array(of_counts), np.array([len(keys)]), *[np.empty(0)] * 3), strict=True):
-            out[k].append(C.pack_counts(x.astype(np.uint64)))
-        out["file"].append(kind)
-        one = np.ones(len(keys), np.uint64)
-        for what, (ids, *values) in (
-            ("right", C.summed(right, one)),
-            ("left", C.summed(left, counts, *((counts == k).astype(np.uint64) for k in (1, 2)), (counts > 2).astype(np.uint64))),
-        ):
-            cuts = [0, *np.searchsorted(ids, np.arange(1, b, dtype=np.uint64) * np.uint64(width)).tolist(), len(ids)]
-            for j in range(b):
-                part = slice(cuts[j], cuts[j + 1])
-                if part.start < part.stop:
-                    out["bucket"].append(j)
-                    out["kind"].append(what)
-                    out["ids"].append(C.pack_sorted(ids[part]))
-                    for k, x in zip(("a", "n1", "n2", "n3"), [*values, *[np.empty(0)] * 3], strict=False):
-                        out[k].append(C.pack_counts(x[part].astype(np.uint64)))
-                    out["file"].append(str(i))
-        return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("kind", pa.string()), *((k, pa.binary()) for k in ("ids", "a", "n1", "n2", "n3")), ("file", pa.string())]))
-
-    def merge_ids(key, table):
-        j = key[0].as_py()
-        size = max(0, min(width, v + 1 - j * width))
-        cont, *left = (np.zeros(size, np.uint64) for _ in range(5))
-        stat, files, stat_kind = [0] * 5, {}, None
-        for kind, ids, *values, file in zip(*(table[k] for k in ("kind", "ids", "a", "n1", "n2", "n3", "file")), strict=True):
-            kind, ids, values = kind.as_py(), ids.as_py(), [C.unpack_counts(x.as_py()) for x in values]
-            if kind == "stat":
-                stat, stat_kind = [*C.unpack_counts(ids).tolist(), int(values[0][0])], file.as_py()
-                continue
-            at = (C.unpack_sorted(ids) - np.uint64(j * width)).astype(np.int64)
-            for to, x in zip([cont] if kind == "right" else left, values, strict=False):
-                to[at] += x
-        for name, a in zip(("cont", "left", "one", "two", "more"), (cont, *left), strict=True):
-            files[name] = _save(folder, f"{name}-{j}", a)
-        of_cont = [int(np.count_nonzero(cont == k)) for k in (1, 2, 3, 4)]
-        return pa.table(
-            {"bucket": pa.array([j], pa.int32()), "stat": [[int(x) for x in stat]], "cont": [[*of_cont, int(cont.sum()), int(np.count_nonzero(cont > 2))]], "pair_kind": pa.array([stat_kind], pa.string()), "kinds": [[files[k] for k in ("cont", "left", "one", "two", "more")]]}
-        )
-
-    rows = (
-        texts.mapInArrow(pairs, "bucket int, keys binary, counts binary")
-        .groupBy("bucket")
-        .applyInArrow(merge_pairs, "bucket int, kind string, ids binary, a binary, n1 binary, n2 binary, n3 binary, file string")
-        .groupBy("bucket")
-        .applyInArrow(merge_ids, "bucket int, stat array<long>, cont array<long>, pair_kind string, kinds array<string>")
-        .collect()
-    )
-    of_pairs, of_cont = np.zeros(5, np.int64), np.zeros(6, np.int64)
+            ids, context, place = _grams(m, opened, tokens, firsts, k)
+            own = np.flatnonzero(place >= k - 2)
+            context, ids = context[own], ids[own]
+            if one_key:
+                keys, counts = np.unique(context * step + ids, return_counts=True)
+                context = keys // step
+                where = context // width
+                local = keys - where * (width * step)
+            else:
+                order = np.lexsort([ids, context])
+                context, ids = context[order], ids[order]
+                new = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (ids[1:] != ids[:-1]))) if len(ids) else np.empty(0, np.int64)
+                counts = np.diff(np.append(new, len(ids)))
+                context, ids = context[new], ids[new]
+                where = context // width
+                local = (context - where * width) * step + ids
+            yield pa.RecordBatch.from_pydict(_blocks(where, local.astype(np.uint64), counts))
+
+    def merge(key, table):
+        (keys, counts), j = _merged(table), key[0].as_py()
+        own = min(width, contexts - j * width)
+        context, last = (keys // np.uint64(step)).astype(np.int64), keys % np.uint64(step)
+        C.put_array(folder, f"{k}-from-{j}", np.searchsorted(context, np.arange(own + 1)))
+        C.put_array(folder, f"{k}-word-{j}", last)
+        C.put_array(folder, f"{k}-raw-{j}", counts)
+        lower = 0 if k > 2 else int(np.count_nonzero(context + j * width < m.vocab))
+        if k > 2:
+            lower = int(np.count_nonzero(context + j * width < m.levels[k - 1].begin))
+        return pa.table({"bucket": pa.array([j], pa.int64()), "n": [len(keys)], "lower": [lower]})
+
+    rows = _collected(texts.mapInArrow(grams, _BLOCK).groupBy("bucket").applyInArrow(merge, "bucket long, n long, lower long"))
+    sizes = np.zeros(ranges, np.int64)
     for r in rows:
-        of_pairs += np.array(r.stat)
-        of_cont += np.array(r.cont)
-        m.kinds.update(zip((f"{k}-{r.bucket}" for k in ("cont", "left", "one", "two", "more")), r.kinds, strict=True))
-        if r.pair_kind:
-            m.kinds |= {f"pair-{r.bucket}.key": "<u8", f"pair-{r.bucket}.count": r.pair_kind}
-    m.n_pairs = int(of_pairs[4])
-    m.pair_discounts, m.word_discounts = discounts(*map(int, of_pairs[:4])), discounts(*map(int, of_cont[:4]))
-    d = m.word_discounts
-    m.lower_gamma = float(d[0] * of_cont[0] + d[1] * of_cont[1] + d[2] * of_cont[5]) / float(of_cont[4])
-    return m
+        sizes[r.bucket] = r.n
+    C.put_array(folder, f"{k}-starts", np.cumsum(np.append(0, sizes))[:-1])
+    m.levels[k] = Level(contexts, width, ranges, int(sizes.sum()), sum(r.lower for r in rows))
+
+
+def _add_up(m: Model, spark, k: int) -> None:
+    """Finish order k, whose counts are known by now, and count for order k - 1 the different words before each of its n-grams."""
+    level, folder, top = m.levels[k], m.folder, k == m.order
+    below = m.levels.get(k - 1)
+
+    def finish(batches):
+        opened = _open(m)
+        for batch in batches:
+            for j in batch.column("j").to_pylist():
+                begins, last = (opened.array(f"{k}-{x}-{j}") for x in ("from", "word"))
+                if not len(begins):
+                    continue
+                counts = opened.array(f"{k}-raw-{j}" if top else f"{k}-count-{j}").astype(np.int64)
+                begins = begins.astype(np.int64)
+                if top:
+                    C.put_array(folder, f"{k}-count-{j}", counts)
+                sums = lambda x: np.diff(np.append(0, np.cumsum(x))[begins])  # noqa: E731, B023
+                for name, x in (("total", counts), ("one", counts == 1), ("two", counts == 2)):
+                    C.put_array(folder, f"{k}-{name}-{j}", sums(x))
+                stats = [_counts_of(counts)]
+                # the n-gram without its first word
+                tail = last.astype(np.int64)
+                if k > 2:
+                    context = np.repeat(_suffix_context(m, opened, k - 1, np.arange(len(begins) - 1) + j * level.width), np.diff(begins))
+                    tail = opened.find(k - 1, context, tail)[0]
+                keys, n = np.unique(tail, return_counts=True)
+                starts = opened.array("word-starts" if k == 2 else f"{k - 1}-starts").astype(np.int64)
+                where = np.searchsorted(starts, keys, "right") - 1
+                out = _blocks(where, (keys - starts[where]).astype(np.uint64), n)
+                out["stats"] = pa.array(stats + [None] * (len(out["bucket"]) - 1), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_pydict(out)
+
+    def merge(key, table):
+        (at, n), i = _merged(table), key[0].as_py()
+        if k == 2:
+            size, raw = len(C.map_array(folder, f"word-{i}.key")), None
+        else:
+            raw = C.map_array(folder, f"{k - 1}-raw-{i}")
+            size = len(raw)
+        counts = np.zeros(size, np.int64)
+        counts[at.astype(np.int64)] = n
+        if k > 2:
+            start = int(C.map_array(folder, f"{k - 1}-starts")[i])
+            alone = max(0, min(size, below.begin - start))
+            counts[alone:] = raw[alone:]
+        C.put_array(folder, f"cont-{i}" if k == 2 else f"{k - 1}-count-{i}", counts)
+        stats = [s for s in table["stats"].to_pylist() if s is not None]
+        return pa.table({"stats": [np.sum([*stats, [0] * 4], axis=0).tolist()], "of": [[*_counts_of(counts), int(counts.sum()), int(np.count_nonzero(counts > 2))]]}, schema=pa.schema([("stats", pa.list_(pa.int64())), ("of", pa.list_(pa.int64()))]))
+
+    ranges = spark.range(0, level.ranges, 1, min(level.ranges, 4096)).withColumnRenamed("id", "j")
+    rows = _collected(ranges.mapInArrow(finish, _BLOCK + ", stats array<long>").groupBy("bucket").applyInArrow(merge, "stats array<long>, of array<long>"))
+    level.discounts = discounts(*np.sum([r.stats for r in rows], axis=0).tolist())
+    if k == 2:
+        n1, n2, n3, n4, total, more = np.sum([r.of for r in rows], axis=0).tolist()
+        m.word_discounts, m.word_total = discounts(n1, n2, n3, n4), total
+        m.word_gamma = (m.word_discounts[0] * n1 + m.word_discounts[1] * n2 + m.word_discounts[2] * more) / total
+
+
+def _suffix_context(m: Model, opened: _Open, k: int, grams: np.ndarray) -> np.ndarray:
+    """The context, one order down, that the last k - 1 words of k-grams are: for a bigram its last word."""
+    starts = opened.array(f"{k}-starts").astype(np.int64)
+    where = np.searchsorted(starts, grams, "right") - 1
+    last = np.empty(len(grams), np.int64)
+    context = np.empty(len(grams), np.int64)
+    for j in np.unique(where).tolist():
+        mine = where == j
+        local = grams[mine] - starts[j]
+        last[mine] = opened.array(f"{k}-word-{j}")[local]
+        context[mine] = np.searchsorted(opened.array(f"{k}-from-{j}"), local, "right") - 1 + j * m.levels[k].width
+    if k == 2:
+        return last
+    return opened.find(k - 1, _suffix_context(m, opened, k - 1, context), last)[0]
 
 
 # --- scoring -------------------------------------------------------------------------------------
@@ -339,25 +442,23 @@ def _score_tokens(m: Model, opened: _Open, tokens: np.ndarray, firsts: np.ndarra
     """For each token: its training count, and log10 of the model's probability."""
     if not m.n_tokens:
         return np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
-    ids, known, at, left_at, keys = _pair_keys(m, opened, tokens, firsts)
-    some = np.flatnonzero(known)
-    count, cont = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
-    count[some] = opened.by_rank("word", ids[some])
-    cont[some] = opened.by_width("cont", ids[some])
-    lower = _discounted(cont, m.word_discounts) / m.n_pairs + m.lower_gamma / (m.vocab + 1)
-    # what follows the left word: total, and how many words follow it once, twice, more often; the last entry is the start of a text
-    left = {}
-    for name in ("left", "one", "two", "more"):
-        left[name] = np.zeros(len(ids) + 1, np.int64)
-        left[name][some] = opened.by_width(name, ids[some])
-        left[name][-1] = opened.by_width(name, np.array([m.vocab]))[0]
-    d, total = m.pair_discounts, np.maximum(left["left"], 1)
-    gamma = np.where(left["left"] > 0, (d[0] * left["one"] + d[1] * left["two"] + d[2] * left["more"]) / total, 1.0)
-    pair = np.zeros(len(tokens), np.int64)
-    usable = np.flatnonzero(known[at] & np.append(known, True)[left_at])
-    unique, back = np.unique(keys[usable], return_inverse=True)
-    pair[usable] = opened.pair_counts(unique)[back]
-    p = _discounted(pair, d) / total[left_at] + gamma[left_at] * lower[at]
+    unique, at = np.unique(tokens, return_inverse=True)
+    word = opened.ids(unique)
+    known = np.flatnonzero(word >= 0)
+    count, before = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+    count[known], before[known] = opened.of_words("word", word[known]), opened.of_words("cont", word[known])
+    p = (_discounted(before, m.word_discounts) / m.word_total + m.word_gamma / (m.vocab + 1))[at]
+    ids = word[at]
+    context = _before(ids, firsts, m.vocab)
+    for k in range(2, m.order + 1):
+        gram, seen = _found(opened, k, context, ids)
+        some = np.flatnonzero(context >= 0)
+        # what follows a context is the same for all its tokens
+        each, back = np.unique(context[some], return_inverse=True)
+        total, gamma = opened.following(k, each)
+        p[some] = _discounted(seen[some], m.levels[k].discounts) / np.maximum(total, 1)[back] + gamma[back] * p[some]
+        if k < m.order:
+            context = _before(gram, firsts, -1)
     return count[at], np.log10(p)
 
 
@@ -372,11 +473,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         n_all, v = model.n_tokens, model.vocab
         for batch in batches:
             parts = []
-            for _, _, data, offsets in C.chunks(batch.column("__text")):
-                tokens, begins = _tokens(data, offsets)
-                count, logp = _score_tokens(model, opened, tokens, begins[:-1])
+            for tokens, firsts in _gathered([batch], "__text"):
+                count, logp = _score_tokens(model, opened, tokens, firsts)
                 base = np.log10((count + 1) / (n_all + v + 1))
-                parts.append([np.diff(begins), *(np.add.reduceat(x, begins[:-1]) for x in ((count > 0).astype(np.int64), base, logp))])
+                parts.append([np.diff(firsts), *(np.add.reduceat(x, firsts[:-1]) for x in ((count > 0).astype(np.int64), base, logp))])
             if not parts:
                 continue
             n, n_known, base, logp = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -388,8 +488,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return chosen.mapInArrow(run, f"{schema}, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
-def lm_scores(docs: DataFrame, fold: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scores(docs: DataFrame, fold: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Learn from the rows outside the held-out fold and score all rows."""
     split = docs.select(id_col, text_col, (C.id_bucket(id_col, fold) == held).alias("held_out"))
-    model = train(split.filter(~F.col("held_out")), text_col)
+    model = train(split.filter(~F.col("held_out")), text_col, order=order)
     return score(split, model, id_col, text_col, ("held_out",))

@@ -66,40 +66,49 @@ def empty(spark):
 
 
 # --- 1 -----------------------------------------------------------------------------------------------
-def lm_brute(rows):
+def lm_brute(rows, order=op1_lm.ORDER):
+    """Interpolated modified Kneser-Ney of any order over counters; a text begins with one start symbol, and n-grams that begin with it keep their counts."""
     tk = lambda t: re.findall(WHITE, lower(t or "")) + [None]
     train = [tk(r[1]) for r in rows if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2]
     c = collections.Counter(w for t in train for w in t)
-    pairs = collections.Counter(p for t in train for p in zip(["<s>", *t[:-1]], t, strict=True))
-    cont = collections.Counter(b for _, b in pairs)
-    d2 = op1_lm.discounts(*[sum(v == k for v in pairs.values()) for k in (1, 2, 3, 4)])
-    d1 = op1_lm.discounts(*[sum(v == k for v in cont.values()) for k in (1, 2, 3, 4)])
-    total, kinds = collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
-    for (a, _), k in pairs.items():
-        total[a] += k
-        kinds[a][min(k, 3) - 1] += 1
-    gamma = sum(d1[min(k, 3) - 1] for k in cont.values()) / len(pairs)
+    raw = {k: collections.Counter(tuple(["<s>", *t][i : i + k]) for t in train for i in range(len(t) + 2 - k)) for k in range(2, order + 1)}
+    adjusted = {order: raw[order]}
+    for k in range(order - 1, 0, -1):
+        left = collections.Counter(g[1:] for g in raw[k + 1])
+        adjusted[k] = collections.Counter({g: left[g] if g[0] != "<s>" else raw[k][g] for g in (raw[k] if k > 1 else [(w,) for w in c])})
+    d = {k: op1_lm.discounts(*[sum(v == n for v in adjusted[k].values()) for n in (1, 2, 3, 4)]) for k in adjusted}
+    after = {k: collections.defaultdict(list) for k in adjusted}
+    for k, grams in adjusted.items():
+        for g, n in grams.items():
+            after[k][g[:-1]].append(n)
     n, v = sum(c.values()), len(c)
 
-    def p(a, b):
-        low = max(cont[b] - (d1[min(cont[b], 3) - 1] if cont[b] else 0), 0) / len(pairs) + gamma / (v + 1)
-        if not total[a]:
-            return low
-        k = pairs[(a, b)]
-        return max(k - (d2[min(k, 3) - 1] if k else 0), 0) / total[a] + sum(x * y for x, y in zip(d2, kinds[a], strict=True)) / total[a] * low
-
-    assert abs(sum(p("word1", w) for w in c) + p("word1", "unseen") - 1) < 1e-9
+    def p(context, w):
+        k = len(context) + 1
+        shorter = p(context[1:], w) if k > 1 else 1 / (v + 1)
+        own = after[k][context] if context in after[k] else []
+        if not sum(own):
+            return shorter
+        x = adjusted[k][(*context, w)]
+        less = lambda y: d[k][min(y, 3) - 1] if y else 0
+        return max(x - less(x), 0) / sum(own) + sum(map(less, own)) / sum(own) * shorter
+
+    some = next(g[:-1] for g in raw[order])
+    assert abs(sum(p(some, w) for w in c) + p(some, "unseen") - 1) < 1e-9
     out = []
     for r in rows:
         t = tk(r[1])
-        out.append((r[0], len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), sum(math.log10(p(a, b)) for a, b in zip(["<s>", *t[:-1]], t, strict=True))))
+        padded = ["<s>", *t]
+        logs = [math.log10(p(tuple(padded[max(0, i + 2 - order) : i + 1]), w)) for i, w in enumerate(t)]
+        out.append((r[0], len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), sum(logs)))
     return out
 
 
-def test_lm_scores(docs, rows):
-    got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in op1_lm.lm_scores(docs).collect()]
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scores(docs, rows, order):
+    got = [(r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in op1_lm.lm_scores(docs, order=order).collect()]
     key = lambda r: (str(r[0]), r[1])
-    for a, b in zip(sorted(got, key=key), sorted(lm_brute(rows), key=key), strict=True):
+    for a, b in zip(sorted(got, key=key), sorted(lm_brute(rows, order), key=key), strict=True):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9)
 
 
@@ -112,12 +121,6 @@ def test_lm_many_buckets_and_empty(spark, docs, empty):
     assert {r.score for r in op1_lm.score(docs, none).collect()} == {0.0}
 
 
-def test_mix_can_be_undone():
-    for bits in (4, 7, 21, 46, 63):
-        x = np.random.Generator(np.random.PCG64(bits)).integers(0, 1 << bits, 1000, dtype=np.uint64)
-        assert (op1_lm._unmix(op1_lm._mix(x, bits), bits) == x).all()
-
-
 # --- 2 -----------------------------------------------------------------------------------------------
 def test_tokens_equal_the_library():
     from tokenizers import Tokenizer
