@@ -135,10 +135,46 @@ def put_array(folder: str, name: str, a: np.ndarray) -> None:
 
 
 def map_array(folder: str, name: str) -> np.ndarray:
-    raw = map_file(folder, name, np.uint8)
+    raw = np.asarray(map_file(folder, name, np.uint8)).view(np.ndarray)
     return raw[8:].view(bytes(raw[:8]).decode().strip())
 
 
+class Small:
+    """Whole numbers that are mostly small: a byte for each, and a sorted list of the places of larger ones with their values."""
+
+    LARGE = 255
+
+    def __init__(self, raw: np.ndarray):
+        n, m = raw[:16].view("<i8").tolist() if len(raw) else (0, 0)
+        self.low, rest = raw[16 : 16 + n], raw[16 + n :]
+        self.places, self.values = np.frombuffer(rest[: 8 * m].tobytes(), "<i8"), np.frombuffer(rest[8 * m :].tobytes(), "<i8")
+
+    @staticmethod
+    def put(folder: str, name: str, a: np.ndarray) -> None:
+        large = np.flatnonzero(a >= Small.LARGE)
+        low = np.minimum(a, Small.LARGE).astype(np.uint8)
+        put_file(folder, name, np.array([len(a), len(large)], "<i8").tobytes() + low.tobytes() + large.astype("<i8").tobytes() + a[large].astype("<i8").tobytes())
+
+    @staticmethod
+    def map(folder: str, name: str) -> Small:
+        return Small(np.asarray(map_file(folder, name, np.uint8)).view(np.ndarray))
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        out = self.low[at].astype(np.int64)
+        large = np.flatnonzero(out == self.LARGE)
+        if len(large):
+            out[large] = self.values[np.searchsorted(self.places, at[large])]
+        return out
+
+    def all(self) -> np.ndarray:
+        out = self.low.astype(np.int64)
+        out[self.places] = self.values
+        return out
+
+
 # --- columns -----------------------------------------------------------------------------------
 def text_bytes(col: str = "text") -> Column:
     """The whole text as UTF-8 bytes; null counts as empty."""

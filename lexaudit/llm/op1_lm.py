@@ -151,6 +151,14 @@ class _Open:
                 self.arrays[name] = np.empty(0, np.uint8)
         return self.arrays[name]
 
+    def small(self, name: str) -> C.Small:
+        if name not in self.arrays:
+            try:
+                self.arrays[name] = C.Small.map(self.m.folder, name)
+            except FileNotFoundError:
+                self.arrays[name] = C.Small(np.empty(0, np.uint8))
+        return self.arrays[name]
+
     def ids(self, unique: np.ndarray) -> np.ndarray:
         """Ids of ascending word hashes; -1 for unknown ones."""
         out, starts = np.full(len(unique), -1, np.int64), self.array("word-starts")
@@ -168,7 +176,7 @@ class _Open:
         where = np.searchsorted(starts, ids, "right") - 1
         for i in np.unique(where).tolist():
             mine = where == i
-            out[mine] = self.array(f"{name}-{i}")[ids[mine] - starts[i]]
+            out[mine] = self.small(f"{name}-{i}")[ids[mine] - starts[i]]
         return out
 
     def each_range(self, k: int, contexts: np.ndarray):
@@ -197,7 +205,7 @@ class _Open:
             hit = np.flatnonzero(low < end)
             hit = hit[last[low[hit]].astype(np.int64) == wanted[hit]]
             ids[mine[hit]] = low[hit] + int(starts[j])
-            if len(own := self.array(f"{k}-count-{j}")):
+            if len(own := self.small(f"{k}-count-{j}")):
                 counts[mine[hit]] = own[low[hit]]
         return ids, counts
 
@@ -205,11 +213,11 @@ class _Open:
         """For each context the total of what follows it, and the weight that its discounts leave to the shorter context."""
         total, gamma, d = np.zeros(len(contexts), np.int64), np.ones(len(contexts)), self.m.levels[k].discounts
         for j, mine, local in self.each_range(k, contexts):
-            if not len(all_of := self.array(f"{k}-total-{j}")):
+            if not len(all_of := self.small(f"{k}-total-{j}")):
                 continue
-            begins, one, two = self.array(f"{k}-from-{j}"), self.array(f"{k}-one-{j}")[local].astype(np.int64), self.array(f"{k}-two-{j}")[local].astype(np.int64)
+            begins, one, two = self.array(f"{k}-from-{j}"), self.small(f"{k}-one-{j}")[local], self.small(f"{k}-two-{j}")[local]
             more = begins[local + 1].astype(np.int64) - begins[local].astype(np.int64) - one - two
-            own = all_of[local].astype(np.int64)
+            own = all_of[local]
             total[mine] = own
             gamma[mine] = np.where(own > 0, (d[0] * one + d[1] * two + d[2] * more) / np.maximum(own, 1), 1.0)
         return total, gamma
@@ -276,7 +284,7 @@ def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None, o
     def merge_words(key, table):
         (keys, counts), i = _merged(table), key[0].as_py()
         C.put_array(folder, f"word-{i}.key", keys)
-        C.put_array(folder, f"word-{i}", counts)
+        C.Small.put(folder, f"word-{i}", counts)
         return pa.table({"bucket": pa.array([i], pa.int64()), "n": [len(keys)], "total": [int(counts.sum())]})
 
     rows = _collected(texts.mapInArrow(words, _BLOCK).groupBy("bucket").applyInArrow(merge_words, "bucket long, n long, total long"))
@@ -294,6 +302,8 @@ def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None, o
     for k in range(order, 1, -1):
         _add_up(m, spark, k)
         m.stage += 1
+    if order > 2:
+        C.drop(spark, f"{folder}/raw")
     return m
 
 
@@ -309,7 +319,7 @@ def _collected(df: DataFrame) -> list:
 
 
 def _count_level(m: Model, texts: DataFrame, k: int) -> None:
-    """Count the k-grams and write their arrays: from (where each context begins), word, raw."""
+    """Count the k-grams and write their arrays: from (where each context begins), word, and how often each occurs."""
     contexts = m.vocab + 1 if k == 2 else m.levels[k - 1].size
     step = m.vocab + 1
     # so many ranges that a place in a range fits into 62 bits
@@ -345,7 +355,7 @@ def _count_level(m: Model, texts: DataFrame, k: int) -> None:
         context, last = (keys // np.uint64(step)).astype(np.int64), keys % np.uint64(step)
         C.put_array(folder, f"{k}-from-{j}", np.searchsorted(context, np.arange(own + 1)))
         C.put_array(folder, f"{k}-word-{j}", last)
-        C.put_array(folder, f"{k}-raw-{j}", counts)
+        C.Small.put(*((folder, f"{k}-count-{j}") if k == m.order else (f"{folder}/raw", f"{k}-{j}")), counts)
         lower = 0 if k > 2 else int(np.count_nonzero(context + j * width < m.vocab))
         if k > 2:
             lower = int(np.count_nonzero(context + j * width < m.levels[k - 1].begin))
@@ -361,7 +371,7 @@ def _count_level(m: Model, texts: DataFrame, k: int) -> None:
 
 def _add_up(m: Model, spark, k: int) -> None:
     """Finish order k, whose counts are known by now, and count for order k - 1 the different words before each of its n-grams."""
-    level, folder, top = m.levels[k], m.folder, k == m.order
+    level, folder = m.levels[k], m.folder
     below = m.levels.get(k - 1)
 
     def finish(batches):
@@ -371,13 +381,10 @@ def _add_up(m: Model, spark, k: int) -> None:
                 begins, last = (opened.array(f"{k}-{x}-{j}") for x in ("from", "word"))
                 if not len(begins):
                     continue
-                counts = opened.array(f"{k}-raw-{j}" if top else f"{k}-count-{j}").astype(np.int64)
-                begins = begins.astype(np.int64)
-                if top:
-                    C.put_array(folder, f"{k}-count-{j}", counts)
+                counts, begins = opened.small(f"{k}-count-{j}").all(), begins.astype(np.int64)
                 sums = lambda x: np.diff(np.append(0, np.cumsum(x))[begins])  # noqa: E731, B023
                 for name, x in (("total", counts), ("one", counts == 1), ("two", counts == 2)):
-                    C.put_array(folder, f"{k}-{name}-{j}", sums(x))
+                    C.Small.put(folder, f"{k}-{name}-{j}", sums(x))
                 stats = [_counts_of(counts)]
                 # the n-gram without its first word
                 tail = last.astype(np.int64)
@@ -396,7 +403,7 @@ def _add_up(m: Model, spark, k: int) -> None:
         if k == 2:
             size, raw = len(C.map_array(folder, f"word-{i}.key")), None
         else:
-            raw = C.map_array(folder, f"{k - 1}-raw-{i}")
+            raw = C.Small.map(f"{folder}/raw", f"{k - 1}-{i}").all()
             size = len(raw)
         counts = np.zeros(size, np.int64)
         counts[at.astype(np.int64)] = n
@@ -404,7 +411,7 @@ def _add_up(m: Model, spark, k: int) -> None:
             start = int(C.map_array(folder, f"{k - 1}-starts")[i])
             alone = max(0, min(size, below.begin - start))
             counts[alone:] = raw[alone:]
-        C.put_array(folder, f"cont-{i}" if k == 2 else f"{k - 1}-count-{i}", counts)
+        C.Small.put(folder, f"cont-{i}" if k == 2 else f"{k - 1}-count-{i}", counts)
         stats = [s for s in table["stats"].to_pylist() if s is not None]
         return pa.table({"stats": [np.sum([*stats, [0] * 4], axis=0).tolist()], "of": [[*_counts_of(counts), int(counts.sum()), int(np.count_nonzero(counts > 2))]]}, schema=pa.schema([("stats", pa.list_(pa.int64())), ("of", pa.list_(pa.int64()))]))
 
