@@ -129,4 +129,4 @@ PLAIN_WORDS = frozenset(
 )
 
 #: Of those, the words that hardly any text is without.
-FUNCTION_WORDS = frozenset("1 2 3 4 a above after all along an and any are as at be being but by can for from full have how if in is it its large later made make may means more must no not of on one only or other our out part person see should so such that the their this those to under use used was way we which who whole will with without work would you your".split())
+FUNCTION_WORDS = frozenset("1 2 3 4 a above after all along an and any are as at be being but by can do for from full has have how if in is it its large later made make may means more must no not of on one only or other our out part person see should so such that the their this those to under use used was way we which who whole will with without work would you your".split())

@@ -100,16 +100,15 @@ def _constants(spark, columns: str, rows: list[tuple]) -> DataFrame:
     return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS v({columns})"))
 
 
-def _may_match(terms: Column, distinct: Column, known: dict[str, float], unknown: float, least: float) -> Column:
+def _may_match(terms: Column, distinct: Column, others: Column, most: float, unknown: float, least: float) -> Column:
     """False only for units whose cosine to any template is under ``least``, from the numbers of their terms alone.
 
     A cosine is at most the share of a unit's length that lies in terms of templates.  Of k such terms with m occurrences
     the squared length is at most k (1 + ln(m / k))^2 times the largest squared idf (the logarithm is concave), and each
     other term adds at least the squared idf of a term that no template holds.
     """
-    others = F.size(F.array_except(distinct, F.array(*map(F.lit, sorted(known)))))
-    k, m = F.size(distinct) - others, F.size(terms) - others
-    inside = k * (1 + F.log(m / k)) ** 2 * max(known.values()) ** 2
+    k, m = distinct - others, terms - others
+    inside = k * (1 + F.log(m / k)) ** 2 * most**2
     return F.when(k > 0, others * unknown**2 * least**2 <= inside * (1 - least**2) * (1 + 1e-9)).otherwise(False)
 
 
@@ -125,12 +124,16 @@ def unit_matches(docs: DataFrame, key: list[str], text_col: str = "text", least:
     hint = any_of(sorted({t for own in needed for t in own}))
 
     folder = C.new_folder(spark, "licenses")
-    low = docs.select(*key, F.lower(text_col).alias("__t")).filter(F.col("__t").rlike(hint))
+    # through generators of one row, so that filters do not bring what they look at in again and again
+    once = lambda x, name: F.inline(F.array(F.struct(x.alias(name))))
+    low = docs.select(*key, once(F.lower(text_col), "__t")).filter(F.col("__t").rlike(hint))
     unit = lambda kind, parts: F.transform(parts, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("unit")))
     units = low.select(*key, F.inline(F.concat(unit("line", F.split("__t", "\n")), unit("block", F.split("__t", GAP)), unit("file", F.array("__t")))))
     units = units.filter((F.col("kind") == "file") | F.col("unit").rlike(hint))
-    units = units.select(*key, "kind", F.regexp_extract_all("unit", F.lit(TERM), 0).alias("terms"))
-    units = units.select("*", F.array_distinct("terms").alias("distinct")).filter(_may_match(F.col("terms"), F.col("distinct"), known, unknown, least))
+    units = units.select(*key, "kind", once(F.regexp_extract_all("unit", F.lit(TERM), 0), "terms"))
+    units = units.select("*", once(F.array_distinct("terms"), "distinct"))
+    units = units.select("*", once(F.size(F.array_except("distinct", F.array(*map(F.lit, sorted(known))))), "others"))
+    units = units.filter(_may_match(F.size("terms"), F.size("distinct"), F.col("others"), max(known.values()), unknown, least))
     # written once: the number of a unit holds for all that follows
     units = C.table(units.select(*key, "kind", F.size("terms").cast("long").alias("n_terms"), "terms").withColumn("unit", F.monotonically_increasing_id()), f"{folder}/units")
     counted = C.table(units.select("unit", F.explode("terms").alias("term")).groupBy("unit", "term").agg((1 + F.log(F.count("*"))).alias("tf")), f"{folder}/counted")
