@@ -194,14 +194,28 @@ class _Open:
             begins, last = self.array(f"{k}-from-{j}"), self.array(f"{k}-word-{j}")
             if not len(last):
                 continue
-            low, high, wanted = begins[local].astype(np.int64), begins[local + 1].astype(np.int64), words[mine]
-            end, live = high.copy(), np.flatnonzero(low < high)
+            low, end, wanted = begins[local].astype(np.int64), begins[local + 1].astype(np.int64), words[mine]
+            at = lambda places: last[places].astype(np.int64)  # noqa: E731, B023
+            # ids are ranks of hashes, so a word stands about where its id says: the search begins around there
+            size = end - low
+            guess = low + (size * (wanted / (self.m.vocab + 1))).astype(np.int64)
+            reach = 2 * np.sqrt(size).astype(np.int64) + 2
+            left, right = np.maximum(low, guess - reach), np.minimum(end, guess + reach)
+            before = np.flatnonzero((left > low) & (left < end))
+            before = before[at(left[before] - 1) >= wanted[before]]
+            right[before], left[before] = left[before], low[before]
+            after = np.flatnonzero((right < end) & (right > low))
+            after = after[at(right[after]) < wanted[after]]
+            left[after], right[after] = right[after] + 1, end[after]
+            low, high = left, np.maximum(left, right)
+            live = np.flatnonzero(low < high)
             while len(live):
-                mid = (low[live] + high[live]) >> 1
-                under = last[mid].astype(np.int64) < wanted[live]
-                low[live[under]] = mid[under] + 1
-                high[live[~under]] = mid[~under]
-                live = live[low[live] < high[live]]
+                a, b = low[live], high[live]
+                mid = (a + b) >> 1
+                under = at(mid) < wanted[live]
+                low[live] = a = np.where(under, mid + 1, a)
+                high[live] = b = np.where(under, b, mid)
+                live = live[a < b]
             hit = np.flatnonzero(low < end)
             hit = hit[last[low[hit]].astype(np.int64) == wanted[hit]]
             ids[mine[hit]] = low[hit] + int(starts[j])
@@ -241,10 +255,16 @@ def _grams(m: Model, opened: _Open, tokens: np.ndarray, firsts: np.ndarray, k: i
     place = np.arange(len(tokens)) - np.repeat(firsts[:-1], np.diff(firsts))
     context = _before(ids, firsts, m.vocab)
     for level in range(2, k):
-        context = _before(_found(opened, level, context, ids)[0], firsts, -1)
+        context = _before(_of_all(len(ids), *_found(opened, level, context, ids)[:2]), firsts, -1)
     return ids, context, place
 
 
+def _of_all(n: int, some: np.ndarray, values: np.ndarray) -> np.ndarray:
+    out = np.full(n, -1, np.int64)
+    out[some] = values
+    return out
+
+
 def _before(values: np.ndarray, firsts: np.ndarray, start: int) -> np.ndarray:
     """The value of the token before; ``start`` for the first token of a text."""
     out = np.empty_like(values)
@@ -253,14 +273,22 @@ def _before(values: np.ndarray, firsts: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def _found(opened: _Open, k: int, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and counts of the k-grams of all tokens; each different one is looked for once."""
-    got, count = np.full(len(ids), -1, np.int64), np.zeros(len(ids), np.int64)
-    some = np.flatnonzero((context >= 0) & (ids >= 0))
-    if len(some):
-        g, c = opened.find(k, context[some], ids[some])
-        got[some], count[some] = g, c
-    return got, count
+def _found(opened: _Open, k: int, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Tokens with a context, the ids and counts of their k-grams, and the different contexts with each token's place among them.
+
+    Each different k-gram is looked for once, in the order in which the arrays have them.
+    """
+    some, step = np.flatnonzero(context >= 0), opened.m.vocab + 1
+    own, last = context[some], np.where(ids[some] >= 0, ids[some], opened.m.vocab)  # no word has the id V
+    if opened.m.levels[k].contexts * step < 1 << 62:
+        keys, back = np.unique(own * step + last, return_inverse=True)
+        own, last = keys // step, keys % step
+    else:
+        order = np.lexsort([last, own])
+        own, last, back = own[order], last[order], np.argsort(order)
+    gram, count = opened.find(k, own, last)
+    new = np.append(True, own[1:] != own[:-1]) if len(own) else np.empty(0, bool)
+    return some, gram[back], count[back], own[new], (np.cumsum(new) - 1)[back]
 
 
 # --- training ------------------------------------------------------------------------------------
@@ -268,11 +296,11 @@ def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None, o
     """Count ``docs`` and write the model to the shared folder.
 
     buckets: ranges of each order, a power of two; by default it follows the partitions of the input, so that a
-    range holds about as many n-grams as a partition of the input.
+    range holds about as many n-grams as half a partition of the input.
     """
     spark = docs.sparkSession
     texts = docs.select(C.text_bytes(text_col).alias("t"))
-    b = C.power_of_two(buckets or max(8, C.scan_parts(texts)))
+    b = C.power_of_two(buckets or max(8, 2 * C.scan_parts(texts)))
     m = Model(C.new_folder(spark, "lm"), b, order)
     folder, shift = m.folder, np.uint64(64 - (b - 1).bit_length()) if b > 1 else None
 
@@ -390,8 +418,13 @@ def _add_up(m: Model, spark, k: int) -> None:
                 tail = last.astype(np.int64)
                 if k > 2:
                     context = np.repeat(_suffix_context(m, opened, k - 1, np.arange(len(begins) - 1) + j * level.width), np.diff(begins))
-                    tail = opened.find(k - 1, context, tail)[0]
-                keys, n = np.unique(tail, return_counts=True)
+                    if below.contexts * (m.vocab + 1) < 1 << 62:
+                        pairs, n = np.unique(context * (m.vocab + 1) + tail, return_counts=True)  # in the order of ids
+                        keys = opened.find(k - 1, pairs // (m.vocab + 1), pairs % (m.vocab + 1))[0]
+                    else:
+                        keys, n = np.unique(opened.find(k - 1, context, tail)[0], return_counts=True)
+                else:
+                    keys, n = np.unique(tail, return_counts=True)
                 starts = opened.array("word-starts" if k == 2 else f"{k - 1}-starts").astype(np.int64)
                 where = np.searchsorted(starts, keys, "right") - 1
                 out = _blocks(where, (keys - starts[where]).astype(np.uint64), n)
@@ -458,14 +491,11 @@ def _score_tokens(m: Model, opened: _Open, tokens: np.ndarray, firsts: np.ndarra
     ids = word[at]
     context = _before(ids, firsts, m.vocab)
     for k in range(2, m.order + 1):
-        gram, seen = _found(opened, k, context, ids)
-        some = np.flatnonzero(context >= 0)
-        # what follows a context is the same for all its tokens
-        each, back = np.unique(context[some], return_inverse=True)
-        total, gamma = opened.following(k, each)
-        p[some] = _discounted(seen[some], m.levels[k].discounts) / np.maximum(total, 1)[back] + gamma[back] * p[some]
+        some, gram, seen, contexts, back = _found(opened, k, context, ids)
+        total, gamma = opened.following(k, contexts)
+        p[some] = _discounted(seen, m.levels[k].discounts) / np.maximum(total, 1)[back] + gamma[back] * p[some]
         if k < m.order:
-            context = _before(gram, firsts, -1)
+            context = _before(_of_all(len(ids), some, gram), firsts, -1)
     return count[at], np.log10(p)
 
 
