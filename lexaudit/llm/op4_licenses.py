@@ -133,9 +133,11 @@ def unit_matches(docs: DataFrame, key: list[str], text_col: str = "text", least:
     units = units.select(*key, "kind", once(F.regexp_extract_all("unit", F.lit(TERM), 0), "terms"))
     units = units.select("*", once(F.array_distinct("terms"), "distinct"))
     units = units.select("*", once(F.size(F.array_except("distinct", F.array(*map(F.lit, sorted(known))))), "others"))
-    units = units.filter(_may_match(F.size("terms"), F.size("distinct"), F.col("others"), max(known.values()), unknown, least))
+    may = _may_match(F.size("terms"), F.size("distinct"), F.col("others"), max(known.values()), unknown, least)
+    # a file that cannot match as a whole still tells how many terms it has
+    units = units.select(*key, "kind", F.size("terms").cast("long").alias("n_terms"), once(F.when(may, F.col("terms")), "terms")).filter((F.col("kind") == "file") | F.col("terms").isNotNull())
     # written once: the number of a unit holds for all that follows
-    units = C.table(units.select(*key, "kind", F.size("terms").cast("long").alias("n_terms"), "terms").withColumn("unit", F.monotonically_increasing_id()), f"{folder}/units")
+    units = C.table(units.withColumn("unit", F.monotonically_increasing_id()), f"{folder}/units")
     counted = C.table(units.select("unit", F.explode("terms").alias("term")).groupBy("unit", "term").agg((1 + F.log(F.count("*"))).alias("tf")), f"{folder}/counted")
     size = counted.join(of_term, "term", "left").groupBy("unit").agg(F.sqrt(F.sum((F.col("tf") * F.coalesce("idf", F.lit(unknown))) ** 2)).alias("size"))
     pairs = counted.join(needs, "term").select("unit", "template").distinct()

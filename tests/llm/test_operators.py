@@ -295,6 +295,9 @@ def test_license_texts_and_headers(spark):
     for r in got:
         assert (r.license, r.similarity) == wanted[r.i], (r, wanted[r.i])
         assert r.i >= len(files) - 40 or r.license == files[r.i][0], (r, files[r.i])
+    prose = "\n".join("wholly other words in a text of its own number " + str(k) for k in range(60))
+    mixed = spark.createDataFrame([(1, "x/a", prose + "\nReleased under the MIT License.\n" + prose), (2, "x/b", "nothing")], "i int, p string, t string")
+    assert {r.i: r.origin for r in op4_licenses.scan(mixed, "i", F.col("p"), "t").collect()} == {1: "header", 2: "none"}
     assert {r.origin for r in got if r.i in (0, 2, 5)} == {"file"} and {r.origin for r in got if r.i in (3, 4, 7)} == {"header"}
 
 
