@@ -341,7 +341,7 @@ def _collected(df: DataFrame) -> list:
     before = conf.get(C._CLEAN)
     conf.set(C._CLEAN, "true")
     try:
-        return df.collect()
+        return df.select("*").collect()  # planned anew, under the setting
     finally:
         conf.set(C._CLEAN, before)
 
