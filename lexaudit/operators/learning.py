@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import hashing as H
 from ..functions import text as T
+from .shared import running
 
 CALIBRATION = {"decay": 0.001, "rate": 0.05, "steps": 1200}
 ABSTAIN_ALL = 1.000001
@@ -110,8 +111,7 @@ def select_threshold(rows: DataFrame, targets: list[float], by: list[str] = ())
     keys = list(by)
     negatives = rows.groupBy(*keys).agg(F.count_if(F.col("label") == 0).alias("negatives"), F.count_if(F.col("label") == 1).alias("positives"))
     scored = rows.filter((F.col("status") == "scored") & F.col("calibrated").isNotNull()).groupBy(*keys, F.col("calibrated").alias("score")).agg(F.count_if(F.col("label") == 0).alias("fp"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = scored.withColumn("fp", F.sum("fp").over(down))
+    cum = running(scored.withColumnRenamed("fp", "own"), [F.desc("score")], {"fp": "own"}, keys).drop("own")
     goals = F.explode(F.array(*map(F.lit, targets))).alias("target")
     both = F.assert_true((F.col("negatives") > 0) & (F.col("positives") > 0), "threshold selection needs both classes")
     base = negatives.select(*keys, "negatives", goals, both.alias("checked")).filter("checked is null").drop("checked")

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import hashing as H
+from .shared import cut, numbered, running
 
 SEED = 23092026
 
@@ -55,12 +55,10 @@ def by_score(rows: DataFrame, by: list[str] = (), weight: Column | None = None)
 
 def ranking(scores: DataFrame, by: list[str] = ()) -> DataFrame:
     """auroc (half credit for ties) and auprc (average precision over tied groups) of ``by_score`` rows."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = Window.partitionBy(*by)
-    s = scores.select(*by, "n", "p", F.sum("p").over(down).alias("cp"), F.sum("n").over(down).alias("cn"), F.sum("p").over(total).alias("tp"), F.sum("n").over(total).alias("tn"))
+    s = running(scores.select(*by, "score", "n", "p"), [F.desc("score")], {"cp": "p", "cn": "n"}, by)
     area = F.sum((F.col("n") - F.col("p")) * (F.col("cp") - F.col("p") + F.col("p") / 2))
     precision = F.sum(F.col("p") * F.col("cp") / F.col("cn"))
-    tp, tn = F.max("tp"), F.max("tn")
+    tp, tn = F.sum("p"), F.sum("n")
     return s.groupBy(*by).agg(F.try_divide(area, (tp * (tn - tp)).cast("double")).alias("auroc"), F.try_divide(precision, tp.cast("double")).alias("auprc"))
 
 
@@ -69,15 +67,30 @@ def reliability(scores: DataFrame, by: list[str] = (), bins: int = 10) -> DataFr
 
     Each bin begins where the one before it ended, takes ceil(N / bins) rows and goes on to the end of its last score.
     """
-    up = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = scores.withColumn("end", F.sum("n").over(up))
+    cum = running(scores, [F.col("score")], {"end": "n"}, by)
+    if not by:
+        cum = cut(scores.sparkSession, cum)
+        bounds = _bounds(cum, bins)
+        return _by_bin(cum.withColumn("bin", sum(((F.col("end") > b).cast("int") for b in bounds[1:]), F.lit(1))), by)
     g = cum.groupBy(*by).agg(F.sum("n").alias("total"), F.array_sort(F.collect_list("end")).alias("ends"))
     size = F.ceil(F.col("total") / bins)
     step = lambda b: F.array_append(b, F.array_min(F.filter("ends", lambda e: e >= F.least(F.col("total"), F.element_at(b, -1) + size))))
     walk = F.aggregate(F.sequence(F.lit(1), F.lit(bins)), F.array(F.lit(0).cast("long")), lambda b, _: F.when(F.element_at(b, -1) < F.col("total"), step(b)).otherwise(b))
     bounds = g.select(*by, walk.alias("bounds"))
-    joined = cum.crossJoin(F.broadcast(bounds)) if not by else cum.join(bounds, list(by))
-    placed = joined.withColumn("bin", F.size(F.filter("bounds", lambda b: b < F.col("end"))))
+    placed = cum.join(bounds, list(by)).withColumn("bin", F.size(F.filter("bounds", lambda b: b < F.col("end"))))
+    return _by_bin(placed, by)
+
+
+def _bounds(cum: DataFrame, bins: int) -> list[int]:
+    """Where each bin begins: one aggregate for each bin, as a bin begins where the one before it ends."""
+    total = cum.agg(F.max("end")).first()[0] or 0
+    out = [0]
+    while out[-1] < total and len(out) <= bins:
+        out.append(cum.filter(F.col("end") >= min(total, out[-1] + -(-total // bins))).agg(F.min("end")).first()[0])
+    return out
+
+
+def _by_bin(placed: DataFrame, by: list[str]) -> DataFrame:
     return placed.groupBy(*by, "bin").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("score")) / F.sum("n")).alias("score"), (F.sum("p") / F.sum("n")).alias("rate"))
 
 
@@ -108,7 +121,7 @@ def report(rows: DataFrame, threshold: float, by: list[str]) -> DataFrame:
 def source_statistics(rows: DataFrame, threshold: float) -> DataFrame:
     """One row for each source with its place in the order of sources."""
     s = confusion(rows, threshold, ["source_id"]).select("source_id", "positive", "negative", "tp", "fp")
-    return s.withColumn("place", F.row_number().over(Window.orderBy("source_id")) - 1)
+    return numbered(s, ["source_id"])
 
 
 def draws(spark, n_sources: int, replicates: int, seed: int = SEED) -> DataFrame:
@@ -133,7 +146,7 @@ def bootstrap(rows: DataFrame, threshold: float, replicates: int = 1000, seed: i
 def bootstrap_ece(rows: DataFrame, replicates: int = 1000, seed: int = SEED) -> DataFrame:
     """(replicate, ece): calibration error of each resample, from score counts weighted by how often their source was drawn."""
     spark = rows.sparkSession
-    places = rows.select("source_id").distinct().withColumn("place", F.row_number().over(Window.orderBy("source_id")) - 1)
+    places = numbered(rows.select("source_id").distinct(), ["source_id"])
     n = places.count()
     counts = by_score(rows, ["source_id"]).join(places, "source_id")
     w = draws(spark, n, replicates, seed).join(counts, "place")
