@@ -73,18 +73,28 @@ def _drop_left() -> None:
             drop(spark, folder)
 
 
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+@contextlib.contextmanager
+def tidy_shuffles(spark: SparkSession):
+    """Shuffle files of the queries that are planned and run in here go as soon as each has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def save(df: DataFrame, folder: str, *by: str) -> None:
-    """Write ``df`` as Parquet; the shuffle files that this took go as soon as it is written."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEAN)
-    conf.set(_CLEAN, "true")
-    try:
+    """Write ``df`` as Parquet."""
+    with tidy_shuffles(df.sparkSession):
         df.write.partitionBy(*by).parquet(folder) if by else df.write.parquet(folder)
-    finally:
-        conf.set(_CLEAN, before)
+
+
+def few_rows(df: DataFrame) -> list:
+    """Collect ``df``, which has a row for each range of a table at most."""
+    with tidy_shuffles(df.sparkSession):
+        return df.select("*").collect()  # planned anew, under the setting
 
 
 def table(df: DataFrame, folder: str) -> DataFrame:

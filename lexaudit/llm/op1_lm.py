@@ -128,11 +128,9 @@ _BLOCK = "bucket long, what tinyint, keys binary, counts binary"
 
 
 def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and summed counts of the blocks of one range; blocks are added up pair by pair of about equal size."""
-    parts = sorted(((C.unpack_sorted(k.as_py()), C.unpack_counts(c.as_py())) for k, c in zip(table["keys"], table["counts"], strict=True)), key=lambda x: len(x[0]))
-    if not parts:
-        return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    return C.summed(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
+    """Keys and summed counts of the blocks of one range."""
+    keys, counts = ([unpack(x.as_py()) for x in table[name]] for name, unpack in (("keys", C.unpack_sorted), ("counts", C.unpack_counts)))
+    return C.summed(np.concatenate(keys), np.concatenate(counts))
 
 
 # --- the mapped model ----------------------------------------------------------------------------
@@ -315,7 +313,7 @@ def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None, o
         C.Small.put(folder, f"word-{i}", counts)
         return pa.table({"bucket": pa.array([i], pa.int64()), "n": [len(keys)], "total": [int(counts.sum())]})
 
-    rows = _collected(texts.mapInArrow(words, _BLOCK).groupBy("bucket").applyInArrow(merge_words, "bucket long, n long, total long"))
+    rows = C.few_rows(texts.mapInArrow(words, _BLOCK).groupBy("bucket").applyInArrow(merge_words, "bucket long, n long, total long"))
     sizes = np.zeros(b, np.int64)
     for r in rows:
         sizes[r.bucket] = r.n
@@ -335,17 +333,6 @@ def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None, o
     return m
 
 
-def _collected(df: DataFrame) -> list:
-    """The few rows that merges report; shuffle files go when they are there."""
-    conf = df.sparkSession.conf
-    before = conf.get(C._CLEAN)
-    conf.set(C._CLEAN, "true")
-    try:
-        return df.select("*").collect()  # planned anew, under the setting
-    finally:
-        conf.set(C._CLEAN, before)
-
-
 def _count_level(m: Model, texts: DataFrame, k: int) -> None:
     """Count the k-grams and write their arrays: from (where each context begins), word, and how often each occurs."""
     contexts = m.vocab + 1 if k == 2 else m.levels[k - 1].size
@@ -389,7 +376,7 @@ def _count_level(m: Model, texts: DataFrame, k: int) -> None:
             lower = int(np.count_nonzero(context + j * width < m.levels[k - 1].begin))
         return pa.table({"bucket": pa.array([j], pa.int64()), "n": [len(keys)], "lower": [lower]})
 
-    rows = _collected(texts.mapInArrow(grams, _BLOCK).groupBy("bucket").applyInArrow(merge, "bucket long, n long, lower long"))
+    rows = C.few_rows(texts.mapInArrow(grams, _BLOCK).groupBy("bucket").applyInArrow(merge, "bucket long, n long, lower long"))
     sizes = np.zeros(ranges, np.int64)
     for r in rows:
         sizes[r.bucket] = r.n
@@ -449,7 +436,7 @@ def _add_up(m: Model, spark, k: int) -> None:
         return pa.table({"stats": [np.sum([*stats, [0] * 4], axis=0).tolist()], "of": [[*_counts_of(counts), int(counts.sum()), int(np.count_nonzero(counts > 2))]]}, schema=pa.schema([("stats", pa.list_(pa.int64())), ("of", pa.list_(pa.int64()))]))
 
     ranges = spark.range(0, level.ranges, 1, min(level.ranges, 4096)).withColumnRenamed("id", "j")
-    rows = _collected(ranges.mapInArrow(finish, _BLOCK + ", stats array<long>").groupBy("bucket").applyInArrow(merge, "stats array<long>, of array<long>"))
+    rows = C.few_rows(ranges.mapInArrow(finish, _BLOCK + ", stats array<long>").groupBy("bucket").applyInArrow(merge, "stats array<long>, of array<long>"))
     level.discounts = discounts(*np.sum([r.stats for r in rows], axis=0).tolist())
     if k == 2:
         n1, n2, n3, n4, total, more = np.sum([r.of for r in rows], axis=0).tolist()

@@ -132,9 +132,9 @@ def build(benchmark: DataFrame, window: int = 10, item_col: str = "item_id", tex
         C.put_file(folder, f"name-text-{i}", b"".join(names))
         return pa.table({"n": pa.array([len(names)], pa.int64())})
 
-    found = rows.mapInArrow(lambda b: _states(b, window, ranges), "range int, depth int, keys binary, items binary").groupBy("range").applyInArrow(merge, "depths array<int>").collect()
+    found = C.few_rows(rows.mapInArrow(lambda b: _states(b, window, ranges), "range int, depth int, keys binary, items binary").groupBy("range").applyInArrow(merge, "depths array<int>"))
     top = F.shiftrightunsigned("item", 64 - (ranges - 1).bit_length()).cast("int") if ranges > 1 else F.lit(0)
-    rows.select("item", "name").distinct().groupBy(top.alias("range")).applyInArrow(merge_names, "n long").collect()
+    C.few_rows(rows.select("item", "name").distinct().groupBy(top.alias("range")).applyInArrow(merge_names, "n long"))
     return Automaton(folder, ranges, window, sorted({d for r in found for d in r.depths}))
 
 
