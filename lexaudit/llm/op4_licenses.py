@@ -175,6 +175,8 @@ def scan(files: DataFrame, id_col: str, path: Column, text_col: str = "text", le
     up = bare.filter("folder <> ''").select("folder", F.explode(depth).alias("depth"))
     up = up.select("folder", "depth", F.call_function("substring_index", F.col("folder"), F.lit("/"), F.col("depth")).alias("above"))
     nearest = up.join(covers.filter("above <> ''"), "above").groupBy("folder").agg(F.max(F.struct("depth", "above", "license", "similarity")).alias("n"))
+    # as a table of its own, so that the join deals out both sides itself and can split a directory of many files
+    nearest = C.table(nearest, C.new_folder(files.sparkSession, "nearest"))
     out = base.join(nearest, "folder", "left")
     mine, inherits = F.col("license").isNotNull(), F.col("license").isNull() & F.col("folder").isNotNull()
     at_root = {"above": F.lit(None).cast("string"), "license": F.lit(None).cast("string"), "similarity": F.lit(None).cast("double")} if root is None else {k: F.lit(root[k]) for k in root.asDict()}
