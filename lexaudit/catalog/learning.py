@@ -80,11 +80,9 @@ def loso_prior(spark, d):
 
 def _features(spark, d):
     """Six features of each labelled document: its raw score, mean and upper of its word scores, and three stand-in style scores."""
-    rows = labelled(spark, d)
-    words = S.word_scores(S.word_questions(rows.select("doc_id", "text"), "doc_id"), "doc_id")
     style = [H.hash_unit(F.concat_ws(":", "id", F.lit(f"style{k}"))) for k in range(3)]
-    both = rows.select("doc_id", "id", "source_id", "label", "status", "raw", "text").join(S.prefix_mean(words, "doc_id").drop("n"), "doc_id", "left").join(S.prefix_upper(words, "doc_id"), "doc_id", "left")
-    six = F.array("raw", F.coalesce("mean", F.lit(0.0)), F.coalesce("upper", F.lit(0.0)), *style)
+    both = S.word_score_lists(labelled(spark, d), "doc_id", keep=("id", "source_id", "label", "status", "raw", "text"))
+    six = F.array("raw", S.mean_score(), S.upper_score(), *style)
     return both.withColumn("features", F.when(F.col("status") == "scored", six))
 
 
@@ -141,30 +139,30 @@ def word_questions(spark, d):
 
 
 def _scores(spark, d):
-    return S.word_scores(S.word_questions(table(spark, d, "documents"), "doc_id"), "doc_id")
+    return S.word_score_lists(table(spark, d, "documents"), "doc_id")
 
 
 @query(f"{_Q} SELECT e.doc_id, coalesce(round(avg(ws.raw), 9), 0) AS mean, count(ws.raw) AS n FROM examples e LEFT JOIN ws USING (doc_id) GROUP BY e.doc_id", True)
 def prefix_mean(spark, d):
-    return S.prefix_mean(_scores(spark, d), "doc_id", table(spark, d, "documents")).withColumn("mean", F.round("mean", 9))
+    return _scores(spark, d).select("doc_id", F.round(S.mean_score(), 9).alias("mean"), F.size("scores").cast("long").alias("n"))
 
 
 @query(f"{_Q}, up AS (SELECT doc_id, round(avg(raw), 9) AS upper FROM (SELECT doc_id, raw, row_number() OVER (PARTITION BY doc_id ORDER BY raw DESC) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM ws) WHERE k <= greatest(1, ceil(n / 4.0)) GROUP BY doc_id) SELECT e.doc_id, coalesce(upper, 0) AS upper FROM examples e LEFT JOIN up USING (doc_id)", True)
 def prefix_upper(spark, d):
-    return S.prefix_upper(_scores(spark, d), "doc_id", table(spark, d, "documents")).withColumn("upper", F.round("upper", 9))
+    return _scores(spark, d).select("doc_id", F.round(S.upper_score(), 9).alias("upper"))
 
 
 @query(f"{_Q}, m AS (SELECT doc_id, avg(raw) AS mean FROM ws GROUP BY doc_id) SELECT e.doc_id, status, CASE WHEN status = 'scored' THEN round(coalesce(mean, 0), 9) END AS raw FROM examples e LEFT JOIN m USING (doc_id)", True)
 def score_sentences(spark, d):
     """The status rule over word means: short and failed texts keep no score, a text without content words scores 0."""
-    e = examples(spark, d).select("doc_id", "status").join(S.prefix_mean(_scores(spark, d), "doc_id"), "doc_id", "left")
-    return e.select("doc_id", "status", F.when(F.col("status") == "scored", F.round(F.coalesce("mean", F.lit(0.0)), 9)).alias("raw"))
+    e = S.word_score_lists(examples(spark, d), "doc_id", keep=("status",))
+    return e.select("doc_id", "status", F.when(F.col("status") == "scored", F.round(S.mean_score(), 9)).alias("raw"))
 
 
 @query(f"{_Q}, m AS (SELECT doc_id, avg(raw) AS mean FROM ws GROUP BY doc_id) SELECT doc_id, round({_SIG('-1.0 + 0.7 * raw + 1.5 * coalesce(mean, 0)')}, 9) AS p FROM examples LEFT JOIN m USING (doc_id) WHERE status = 'scored'", True)
 def combined_predict(spark, d):
-    e = examples(spark, d).filter("status = 'scored'").select("doc_id", "raw").join(S.prefix_mean(_scores(spark, d), "doc_id"), "doc_id", "left")
-    return e.select("doc_id", F.round(L.predicted(F.array("raw", F.coalesce("mean", F.lit(0.0))), [0.7, 1.5], -1.0), 9).alias("p"))
+    e = S.word_score_lists(examples(spark, d).filter("status = 'scored'"), "doc_id", keep=("raw",)).select("doc_id", "raw", S.mean_score().alias("mean"))
+    return e.select("doc_id", F.round(L.predicted(F.array("raw", "mean"), [0.7, 1.5], -1.0), 9).alias("p"))
 
 
 _PACK = """, i AS (SELECT source_id, doc_id, strlen(text)::BIGINT AS s, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) AS k FROM examples),
