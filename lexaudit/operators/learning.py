@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions import hashing as H
 from ..functions import text as T
-from .shared import running
+from .shared import cut, running
 
 CALIBRATION = {"decay": 0.001, "rate": 0.05, "steps": 1200}
 ABSTAIN_ALL = 1.000001
@@ -141,13 +141,16 @@ def tfidf_vectors(docs: DataFrame, vocabulary: DataFrame, id_col: str, text_col:
     return tf.join(norms, id_col).select(id_col, "term", (F.col("v") / F.col("norm")).alias("value"))
 
 
-def sparse_features(docs: DataFrame, vocabulary: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
-    """(keys, columns, values) of unit-length TF-IDF vectors, for all rows of ``docs``. vocabulary: fold, place, term, idf; docs have the fold among their keys."""
-    terms = docs.select(*keys, F.explode(T.tokens(text_col)).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
-    found = terms.join(F.broadcast(vocabulary), ["fold", "term"]).select(*keys, "place", ((1 + F.log("tf")) * F.col("idf")).alias("v"))
-    g = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("x"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    vectors = g.select(*keys, F.transform("x", lambda e: e["place"]).alias("columns"), F.transform("x", lambda e: e["v"] / F.col("norm")).alias("values"))
-    return vectors
+def sparse_features(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, fold, columns, values): the unit-length TF-IDF vectors of all rows under each fold's vocabulary (fold, place, term, idf), which is bounded.
+
+    Terms are counted once for all folds, and only those that some vocabulary has.
+    """
+    some = vocabulary.select("term").distinct()
+    terms = docs.select(id_col, F.explode(T.tokens(text_col)).alias("term")).join(F.broadcast(some), "term").groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    found = terms.join(F.broadcast(vocabulary), "term").select(id_col, "fold", "place", ((1 + F.log("tf")) * F.col("idf")).alias("v"))
+    g = found.groupBy(id_col, "fold").agg(F.array_sort(F.collect_list(F.struct("place", "v"))).alias("x"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+    return g.select(id_col, "fold", F.transform("x", lambda e: e["place"]).alias("columns"), F.transform("x", lambda e: e["v"] / F.col("norm")).alias("values"))
 
 
 def fold_vocabularies(rows: DataFrame, folds: int, features: int = 1500) -> DataFrame:
@@ -234,8 +237,8 @@ def cross_validated(rows: DataFrame, methods: tuple[str, ...] = ("raw", "prior",
         more = ["features"] if "combined" in plain else []
         out.append(judge(keyed.select(*columns, *more, "own", every), plain))
     if "tfidf" in methods:
-        docs = keyed.select("doc_id", "text", "own", every)
-        vectors = sparse_features(docs.select("doc_id", "fold", "text"), fold_vocabularies(keyed.select("own", "text"), folds, features), ["doc_id", "fold"])
+        words = cut(rows.sparkSession, fold_vocabularies(keyed.select("own", "text"), folds, features))
+        vectors = sparse_features(keyed.select("doc_id", "text"), words)
         out.append(judge(keyed.select(*columns, "own", every).join(vectors, ["doc_id", "fold"], "left"), ("tfidf",)))
     both = out[0] if len(out) == 1 else out[0].unionByName(out[1])
     return both.withColumn("calibrated", F.nanvl("calibrated", F.lit(None).cast("double")))
