@@ -248,6 +248,7 @@ def compared(predictions: DataFrame) -> DataFrame:
     """One row for each method: fpr, recall, precision, f1, coverage at the folds' own thresholds; auroc, brier and ece of the scores."""
     from . import metrics as M
 
+    predictions = cut(predictions.sparkSession, predictions)  # each metric would fit the models anew
     decided = predictions.withColumn("calibrated", F.when(F.col("calibrated").isNotNull(), (F.col("calibrated") >= F.col("threshold")).cast("double")))
     point = M.rates(M.confusion(decided, 0.5, ["method"])).select("method", "fpr", "recall", "precision", "f1", "coverage")
     s = M.by_score(predictions, ["method"])
