@@ -133,11 +133,15 @@ sl AS (SELECT * EXCLUDE (band), unnest(list_filter([CASE WHEN canonical THEN 'ov
 'domain:' || domain, 'generator:' || generator, 'version:' || version, 'lengthBand:' || band], lambda x: x IS NOT NULL)) AS slice FROM cn)"""
 
 
-def _sliced(spark, d):
+def _sliced(spark, d, bands: bool = True):
     from pyspark.sql.window import Window
 
     first = F.row_number().over(Window.partitionBy(F.col("version") == "v0", "source_id", "n_words").orderBy("doc_id")) == 1
-    rows = labelled(spark, d).withColumn("canonical", (F.col("version") != "v0") | first).withColumn("lengthBand", T.length_band("text"))
+    rows = labelled(spark, d)
+    rows = rows.withColumn("lengthBand", T.length_band("text")) if bands else rows
+    # texts stay behind: no window, slice or written step carries them
+    rows = rows.select("doc_id", "source_id", "label", "status", "calibrated", "generator", "version", "domain", "n_words", *(["lengthBand"] if bands else []))
+    rows = rows.withColumn("canonical", (F.col("version") != "v0") | first)
     return M.sliced(rows, F.col("canonical"))
 
 
@@ -165,13 +169,14 @@ ci AS MATERIALIZED (SELECT slice, metric, CASE WHEN metric = 'recall' AND tp = p
 
 
 def _study_intervals(spark, d):
-    return M.study_intervals(cut(spark, _sliced(spark, d)), T0, R)
+    gated = _sliced(spark, d, bands=False).filter(F.col("slice").isin(*{s for s, *_ in M.GATES})).select("slice", "source_id", "label", "status", "calibrated")
+    return M.study_intervals(cut(spark, gated), T0, R)
 
 
 @query(f"{_study_src(True)} SELECT round(low, 9) AS low, round(high, 9) AS high, metric, replicates FROM ci WHERE metric = 'ece'", True)
 def bootstrap_ece(spark, d):
     """Interval of the calibration error over resampled sources of the canonical rows."""
-    own = cut(spark, _sliced(spark, d).filter("slice = 'overall'"))
+    own = cut(spark, _sliced(spark, d, bands=False).filter("slice = 'overall'").select("source_id", "label", "status", "calibrated"))
     return _rounded(M.intervals(M.bootstrap_ece(own, R), ["ece"]), "low", "high")
 
 
