@@ -327,3 +327,12 @@ def test_calibration_error_of_resamples_over_ranges_makes_no_row_for_each_score_
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert got == pytest.approx(want)
+
+
+def test_gold_alignment_does_not_search_the_rest_of_the_text(monkeypatch):
+    """Sentences with other white space are compared in place: no pattern is compiled, and what follows is not looked through."""
+    monkeypatch.setattr(alignment.re, "compile", None)
+    text = "\n".join(f"Line {i} has some words." for i in range(2000))
+    got = alignment.align_record(text, [line.replace(" ", "  ") for line in text.split("\n")])
+    assert len(got) == 2000 and all(r[7] and r[8] is None for r in got) and got[-1][3] == "Line 1999 has some words."
+    assert alignment.align_record("a b c", ["a  b", "d"])[0][-1] and alignment.align_record("ab c", ["a  b"])[0][-1]
