@@ -336,3 +336,9 @@ def test_gold_alignment_does_not_search_the_rest_of_the_text(monkeypatch):
     got = alignment.align_record(text, [line.replace(" ", "  ") for line in text.split("\n")])
     assert len(got) == 2000 and all(r[7] and r[8] is None for r in got) and got[-1][3] == "Line 1999 has some words."
     assert alignment.align_record("a b c", ["a  b", "d"])[0][-1] and alignment.align_record("ab c", ["a  b"])[0][-1]
+
+
+def test_word_questions_are_counted_in_their_row(spark):
+    """No question is shuffled or sorted."""
+    plan = __spark_entry__.queries()["word_questions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
