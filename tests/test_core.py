@@ -342,3 +342,13 @@ def test_word_questions_are_counted_in_their_row(spark):
     """No question is shuffled or sorted."""
     plan = __spark_entry__.queries()["word_questions"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_sets_without_a_shared_prefix_leave_before_they_are_written(spark, monkeypatch):
+    texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(30)]
+    texts += [texts[0].replace("w0x59", "other"), texts[3], "all rights reserved by us " + texts[5], "all rights reserved by us " + texts[6]]
+    written, cut = [], A.cut
+    monkeypatch.setattr(A, "cut", lambda s, df: written.append((df.columns, (out := cut(s, df)).count())) or out)
+    got = A.near_duplicate_pairs(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id").collect()
+    assert {(r.a, r.b) for r in got} == {(0, 30), (5, 32), (6, 33)}
+    assert next(n for c, n in written if c == ["id", "s"]) < 15
