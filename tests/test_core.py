@@ -344,6 +344,19 @@ def test_word_questions_are_counted_in_their_row(spark):
     assert "Exchange" not in plan and "Sort" not in plan
 
 
+def test_results_leave_in_small_batches():
+    """Sentences of a batch of texts are not held together: 1,000 rows are made before the first batch leaves."""
+    import pyarrow as pa
+
+    from lexaudit.functions.batches import record_batches
+
+    made = []
+    rows = ((made.append(i) or i, str(i)) for i in range(2500))
+    out = record_batches(rows, [("id", pa.int64()), ("text", pa.string())])
+    assert next(out).num_rows == 1000 and len(made) == 1000
+    assert [b.num_rows for b in out] == [1000, 500]
+
+
 def test_sets_without_a_shared_prefix_leave_before_they_are_written(spark, monkeypatch):
     texts = [" ".join(f"w{i}x{k}" for k in range(60)) for i in range(30)]
     texts += [texts[0].replace("w0x59", "other"), texts[3], "all rights reserved by us " + texts[5], "all rights reserved by us " + texts[6]]
