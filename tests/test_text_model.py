@@ -79,3 +79,46 @@ def test_threshold_needs_both_classes(spark):
     rows = spark.createDataFrame([("a", 0, "scored", 0.5), ("b", 0, "scored", 0.7)], "source_id string, label int, status string, calibrated double")
     with pytest.raises(Exception, match="both classes"):
         L.select_threshold(rows, [0.05]).collect()
+
+
+def _as_frame(spark, rows):
+    rng = np.random.Generator(np.random.PCG64(8))
+    x = rng.normal(size=(len(rows), 3)) + rows["label"].to_numpy()[:, None]
+    data = rows.assign(features=x.tolist(), status=np.where(rows.doc_id % 17 == 3, "insufficient", "scored"))
+    data.loc[data.doc_id % 17 == 3, ["features", "raw"]] = None
+    data.loc[data.doc_id == 50, "text"] = None
+    schema = "doc_id long, source_id string, label long, status string, raw double, text string, features array<double>"
+    return spark.createDataFrame(data.astype(object).where(data.notna(), None).values.tolist(), schema)
+
+
+def test_comparison_over_partitions_is_the_one_in_memory(spark, rows):
+    """Each step as a sum over the partitions gives what one task for a fold gives, and no task gets a fold's rows."""
+    df, methods = _as_frame(spark, rows), ("raw", "prior", "combined", "tfidf")
+    held = L.cross_validated(df, methods)
+    assert "FlatMapGroupsInPandas" not in held._jdf.queryExecution().toString()
+    one = held.toPandas().sort_values(["method", "doc_id"]).reset_index(drop=True)
+    more = L.cross_validated(df, methods, alone=0).toPandas().sort_values(["method", "doc_id"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(one, more, rtol=1e-9)
+    assert len(one) == 4 * len(rows) and (one.calibrated.isna() == (one.status != "scored")).all()
+
+
+def test_threshold_is_the_least_that_fits():
+    """Byte by byte over blocks, with ties, against a search through all candidates."""
+    rng = np.random.Generator(np.random.PCG64(3))
+    label, x = (rng.random(400) < 0.4).astype(float), np.round(rng.normal(size=(3, 400)), 1)
+    p, out, more = np.array([[1.5, -0.7, 0.0], [0.2, 0.1, -1.0]]), rng.random((3, 400)) < 0.8, np.array([0, 40, 3])
+    own = (out & (label == 0)).sum(axis=1)
+    cells = L._Held([{"label": label[i : i + 70], "x": x[:, i : i + 70], "out": out[:, i : i + 70]} for i in range(0, 400, 70)])
+    for max_fpr in (0.0, 0.05, 0.3, 0.999, 1.0):
+        got = L._thresholds(cells.total, p, own, own + more, max_fpr)
+        for m in range(3):
+            c = L._sigmoid(p[1, m] + p[0, m] * x[m])
+            fits = lambda t, m=m, c=c: (c[out[m] & (label == 0)] >= t).sum() / (own + more)[m] <= max_fpr
+            assert got[m] == next(t for t in [*np.unique(c[out[m]]), L.ABSTAIN_ALL] if fits(t)), (max_fpr, m)
+
+
+def test_comparison_refuses_what_no_fit_can_take(spark, rows):
+    with pytest.raises(ValueError, match="both classes"):
+        L.cross_validated(spark.createDataFrame(rows.assign(label=0)), ("tfidf",))
+    with pytest.raises(ValueError, match="finite"):
+        L.cross_validated(spark.createDataFrame(rows.assign(features=[[1.0, float("nan")]] * len(rows))), ("combined",))
