@@ -403,11 +403,11 @@ class _Peers:
 
 
 class _Spread:
-    """The blocks of one of several tasks, in memory up to ``most`` bytes and else in a local file; sums go over all tasks."""
+    """The blocks of one of several tasks, in a local file of which one block is in memory at a time; sums go over all tasks."""
 
-    def __init__(self, blocks, peers: _Peers, opened=_opened, most: int = 64 << 20):
+    def __init__(self, blocks, peers: _Peers, opened=_opened):
         self.peers, self.opened = peers, opened
-        self.file = tempfile.SpooledTemporaryFile(max_size=most, dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
+        self.file = tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None)
         for b in blocks:
             self.file.write(struct.pack("<q", len(b)) + b)
 

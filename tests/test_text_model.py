@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -117,6 +119,23 @@ def test_threshold_is_the_least_that_fits():
             assert got[m] == next(t for t in [*np.unique(c[out[m]]), L.ABSTAIN_ALL] if fits(t)), (max_fpr, m)
 
 
+def test_a_task_holds_one_block_at_a_time():
+    """40 blocks of a megabyte, and what is made of them, take a few megabytes of memory however often they are summed."""
+
+    class Alone:
+        def total(self, part, add):
+            return part
+
+    tracemalloc.start()
+    with L._Spread((pickle.dumps({"x": np.full(1 << 17, float(i))}) for i in range(40)), Alone(), lambda b: b) as s:
+        with s.mapped(lambda b: {"x": b["x"] + 1}) as more:
+            assert [more.total(lambda b: b["x"].sum()) for _ in range(2)] == [(1 << 17) * 820.0] * 2
+            assert s.total(lambda b: b["x"].max(), np.maximum) == 39
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10 << 20
+
+
 def test_comparison_refuses_what_no_fit_can_take(spark, rows):
     with pytest.raises(ValueError, match="both classes"):
         L.cross_validated(spark.createDataFrame(rows.assign(label=0)), ("tfidf",))
